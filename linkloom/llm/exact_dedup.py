@@ -61,7 +61,9 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = {"smallest": F.min, "largest": F.max}[keep]
     runs = rows.groupBy("_part", "_run", "_sha").agg(best("_id").alias("_best"), F.count(F.lit(1)).alias("_n"))
     groups = runs.groupBy("_sha").agg(best("_best").alias("keep_id"), F.sum("_n").alias("group_size"))
-    return rows.join(groups, "_sha").select(
+    # Rows meet their group by run, not by digest: a run is no longer than its range, however large the group.
+    found = runs.join(groups, "_sha").select("_part", "_run", "keep_id", "group_size")
+    return rows.join(found, ["_part", "_run"]).select(
         F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256")
     )
 
