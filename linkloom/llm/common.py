@@ -85,3 +85,71 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     return h
+
+
+class RollingHash:
+    """Polynomial prefix hashes (mod 2**64, odd base, random byte values) of up to ``most`` bytes."""
+
+    def __init__(self, most: int, seed: int = 7):
+        base = 0x9E3779B97F4A7C15
+        self.values = np.random.default_rng(seed).integers(1, 2**63, 256).astype(np.uint64)
+        self.up, self.down = (self._powers(b, most) for b in (base, pow(base, -1, 2**64)))
+
+    @staticmethod
+    def _powers(base: int, most: int) -> np.ndarray:
+        out = np.full(most + 1, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    def grow(self, n: int) -> None:
+        if n >= len(self.up):
+            self.__init__(n + n // 4)
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        """h with h[i] - h[j] the hash of data[j:i], times base**j."""
+        self.grow(len(data))
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.up[: len(data)], out=out[1:])
+        return out
+
+    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the spans [start, end); equal for equal bytes wherever they stand."""
+        h = (prefix[end] - prefix[start]) * self.down[start]
+        h += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return mix64(h)
+
+
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_hashes(roll: RollingHash, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of A-Z lower-cased texts: hashes, byte starts and ends in their own text, and the
+    index of each text's first word (one more at the end)."""
+    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    gap = _SPACES[buf]
+    start = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    end = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
+    hashes = roll.spans(roll.prefix(_LOWER[buf]), start, end)
+    first = np.searchsorted(start, np.r_[begins, len(buf)])
+    own = np.repeat(begins, np.diff(first))
+    return hashes, start - own, end - own, first
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k neighbouring words (as many as words - k + 1); fewer words than k make one shingle."""
+    if not len(words):
+        return words[:0]
+    if len(words) < k:
+        n, k = 1, len(words)
+    else:
+        n = len(words) - k + 1
+    h = np.full(n, np.uint64(k))
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            h = h * np.uint64(0xC2B2AE3D27D4EB4F) + words[i : i + n]
+    return mix64(h)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from linkloom.llm import exact_dedup, media, packing, pieces, url_filter
+from linkloom.llm import exact_dedup, media, near_dedup, packing, pieces, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1,
     "op2_packing": packing.op2,
+    "op4_near_dedup": near_dedup.op4,
+    "op5_quality_classifier": quality.op5,
     "op7_pieces": pieces.op7,
     "op9_media_columns": media.op9,
     "op10_exact_dedup": exact_dedup.op10,
