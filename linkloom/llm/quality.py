@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import Cuts, slices, table
 
 REJECT, ABSTAIN, ACCEPT = 0, 1, 2
-LABELLERS = ("letter_share", "marks_per_word", "odd_marks", "plain_marks", "mark_runs", "shouting", "repeated_words", "empty")
+LABELLERS = ("letter_share", "marks_per_word", "odd_marks", "plain_marks", "mark_runs", "shouting", "repeated_words", "repeated_pairs")
 #: Hash bins for byte trigrams and for 4-grams of byte classes.
 BINS = 2048
+#: Bins for the share of words that equal the word before, above those of the n-grams.
+LEVELS = 16
 #: Most documents that train the scorer.
 TRAIN_ROWS = 4000
-#: Texts of fewer words say too little: all labellers but the last abstain, and the score leans on the posterior by half.
+#: Texts of fewer words say too little: all labellers abstain, and the score leans on the posterior by half.
 SHORT = 12
 #: A document is rejected when its score (probability of good quality) is below this.
 THRESHOLD = 0.5
@@ -40,6 +42,11 @@ _PLAIN = np.isin(np.arange(256), np.frombuffer(b".,;:'\"-()?", np.uint8))
 _MARK = ~_LETTER & ~_BLANK & (_CLASS != ord("0"))
 
 
+def repeated_share(words: list[bytes]) -> float:
+    """Share of words that equal the word before."""
+    return sum(map(bytes.__eq__, words[1:], words)) / max(1, len(words))
+
+
 def votes(texts: list[bytes]) -> np.ndarray:
     """One vote of each labeller for each text; labellers for one defect abstain where they do not see it."""
     out = np.full((len(texts), len(LABELLERS)), ABSTAIN, np.int8)
@@ -51,7 +58,8 @@ def votes(texts: list[bytes]) -> np.ndarray:
     for i, text in enumerate(texts):
         words = text.split()
         if len(words) < SHORT:
-            out[i, 7] = ABSTAIN if words else REJECT
+            if not words:
+                out[i] = REJECT
             continue
         data = np.frombuffer(text, np.uint8)
         count = np.bincount(data, minlength=256)
@@ -62,7 +70,6 @@ def votes(texts: list[bytes]) -> np.ndarray:
         # Marks inside or before a word, and marks that stand alone.
         odd = int((mark[1:-1] & (~blank[2:] | blank[:-2])).sum())
         runs = int((_MARK[data[1:]] & (data[1:] == data[:-1])).sum())
-        repeated = sum(map(bytes.__eq__, words[1:], words)) / n
         digits = int(count[48:58].sum())
         out[i] = (
             say(1 - (letters + digits) / seen, 0.08, 0.14),
@@ -71,8 +78,8 @@ def votes(texts: list[bytes]) -> np.ndarray:
             say(1 - int(count[_PLAIN].sum()) / marks if marks else 0.0, 0.3, 0.6),
             REJECT if runs / n >= 0.15 else ABSTAIN,
             REJECT if int(count[65:91].sum()) / letters >= 0.3 else ABSTAIN,
-            REJECT if n >= 20 and repeated >= 0.2 else ABSTAIN,
-            ABSTAIN,
+            say(repeated_share(words), 0.05, 0.2),
+            say(1 - len(set(zip(words[1:], words))) / n, 0.25, 0.5),
         )
         if out[i, 6] == REJECT:  # clean marks say nothing for a text that repeats itself
             out[i, :4][out[i, :4] == ACCEPT] = ABSTAIN
@@ -90,7 +97,8 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     count = np.bincount(np.r_[raw, shape], minlength=2 * BINS)
     at = np.flatnonzero(count)
     weight = np.log1p(count[at]).astype(np.float32)
-    return at, weight / np.sqrt((weight * weight).sum())
+    level = 2 * BINS + int(LEVELS * min(0.999, repeated_share(text.split())))
+    return np.r_[at, level], np.r_[weight / np.sqrt((weight * weight).sum()), np.float32(0.5)]
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
@@ -142,8 +150,8 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = T
     """One row per input row: ``doc_id, votes, weak_label, score, keep``.
 
     ``weak_label`` is the posterior of the votes, ``score`` the scorer's probability of good quality;
-    documents with a score below ``threshold`` are rejected. Null and empty texts are rejected (the
-    last labeller) with score 0. Whole texts are read. Vote counts cover all documents; the scorer
+    documents with a score below ``threshold`` are rejected. Null and empty texts are rejected by
+    all labellers, with score 0. Whole texts are read. Vote counts cover all documents; the scorer
     trains on the ``train_rows`` documents with the smallest hashes of text and id (repeated rows are repeated there).
     An empty table gives an empty result. Where all posteriors fall on one side, the posterior itself is the score.
     Other columns are not read.
@@ -173,7 +181,7 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = T
             body = []
             for text in texts:
                 at, weight = features(text)
-                dense = np.zeros(2 * BINS, np.float16)
+                dense = np.zeros(2 * BINS + LEVELS, np.float16)
                 dense[at] = weight
                 body.append(dense.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([weak.get(c, good) for c in v.tolist()], pa.float64()), pa.array(body, pa.binary())], names=["y", "x"])
