@@ -11,6 +11,7 @@ token counts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import slices, table
+from linkloom.shipping import ship
 
 TIERS = (2048, 1024, 512, 256)
 #: Tokens that a task gathers before it packs them: the bound of its memory.
@@ -44,27 +46,87 @@ class WordEncoder:
     texts for any other. Special tokens are not added.
     """
 
+    WITH_MARKS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
+
     def __init__(self, path: str, chunked: bool = True, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.chunked, self.most = Tokenizer.from_file(path), chunked, memo
         self.memo: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_end[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.chunked:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.memo) > self.most:
-            self.memo = {"": b""}
+        if len(self.memo) > self.most:  # what is used again comes back from the older half
+            self.old, self.memo = self.memo, {"": b""}
         # These four white-space characters end chunks; any other stays inside one, where the tokenizer sees it.
         chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*chunks) - self.memo.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*chunks) - self.memo.keys()
+        self._learn(new)
         get = self.memo.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        out = [b"".join(map(get, c)) for c in chunks]
+        for i, text in enumerate(texts):
+            if "\u0130" in text:  # its lower case is longer; what the library makes of that depends on what stands around
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new chunks. Letters alone, or with ASCII marks after them, split in known places: their letters are
+        encoded many at a time and parted at end-of-word ids, their marks from the memo. Others are encoded alone."""
+        memo, old, plain, same, marked, other = self.memo, self.old, set(), [], [], []
+        for chunk in new:
+            if (ids := old.get(chunk)) is not None:
+                memo[chunk] = ids
+                continue
+            if chunk.isalpha():
+                word = chunk
+            elif (m := self.WITH_MARKS.match(chunk)) and m[1].isalpha():
+                word, marks = m[1], m[2]
+                marked.append((chunk, word, marks))
+                if marks not in memo:
+                    other.append(marks)
+            else:
+                other.append(chunk)
+                continue
+            if word not in memo:
+                low = word.lower() if word.isascii() else word
+                if low != word:
+                    same.append((word, low))
+                if low not in memo:
+                    plain.add(low)
+        words = list(plain)
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(part):  # letters that this tokenizer parts after all
+                other += part
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            memo.update(zip(part, [raw[s:e] for s, e in zip(at, at[1:], strict=False)], strict=True))
+        for i in range(0, len(other), 10_000):
+            part = other[i : i + 10_000]
+            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                memo[word] = np.array(e.ids, "<u4").tobytes()
+        for word, low in same:
+            memo[word] = memo[low]
+        for chunk, word, marks in marked:
+            memo[chunk] = memo[word] + memo[marks]
+
+
+_SHARED: dict[str, WordEncoder] = {}
+
+
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    if path not in _SHARED:
+        _SHARED[path] = WordEncoder(path)
+    return _SHARED[path]
 
 
 class _Open:
@@ -202,6 +264,7 @@ def pack_documents(
     pieces. Rows that repeat an id are packed each. Sequence ids carry the task's number above 36 bits,
     so a task that runs again gives the same ids. Other columns are not read.
     """
+    ship(docs.sparkSession)
     kinds = pa.schema([(n, {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in _SCHEMA.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +325,7 @@ def pack_documents(
 
 def pack_word_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or word_bpe_path()
-    return pack_documents(docs, lambda: WordEncoder(path))
+    return pack_documents(docs, lambda: shared_encoder(path))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
