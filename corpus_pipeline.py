@@ -1,3 +1,70 @@
-STAGES = []
+"""Corpus pipeline: quality classifier, exact dedup, near-dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet
+in the shared folder and reads it again as the next stage's documents. All stages but the last return
+the columns of ``documents``. Rows with a null id cannot be told apart and are dropped by the first
+stage; rows that repeat an id count as one document with the texts they hold.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.llm.common import Cuts, table
+from linkloom.llm.exact_dedup import content_sort
+from linkloom.llm.near_dedup import near_dedup
+from linkloom.llm.packing import pack_word_bpe
+from linkloom.llm.passages import cut_passages
+from linkloom.llm.quality import classify
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    kept = classify(docs).where("keep").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts (A-Z lower-cased): the smallest id."""
+    kept = content_sort(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the smallest id."""
+    kept = near_dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that an earlier document holds as well; n_chars follows the text."""
+    cut = cut_passages(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed documents (see ``packing.pack_documents``)."""
+    return pack_word_bpe(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("packing", pack),
+]
+
+#: The stages hold trained models and tokenizers, which SQL cannot express.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cuts = Cuts(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = cuts.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            cuts.drop(f"stage-{k - 1}")
+    return docs

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 _OWN_DIR: list[str] = []
@@ -35,6 +37,7 @@ class Cuts:
     """Written tables in the shared folder that cut lineage: a lost executor never costs more than one step."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, step: str) -> DataFrame:
