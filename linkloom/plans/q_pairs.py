@@ -1,4 +1,112 @@
-"""Queries."""
+"""Pair-feature queries on part pairs and documents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from linkloom.functions import similarity as S
+from linkloom.functions.tokens import glued, initials
+from linkloom.operators import pairs as P
+from linkloom.plans.q_retrieval import _PART_PAIRS, _part_pairs, t
+from linkloom.shipping import ship
+
+
+def token_jaccard(spark, sf):  # noqa: ANN001, ANN201
+    return _part_pairs(spark, sf).select("q", "s", F.round(P.jaccard(F.col("n1"), F.col("n2")), 6).alias("jaccard"), P.set_counts(F.col("n1"), F.col("n2"))[0].cast("bigint").alias("shared"))
+
+
+def token_miss(spark, sf):  # noqa: ANN001, ANN201
+    x, y = F.split("n1", " "), F.split("n2", " ")
+    return _part_pairs(spark, sf).select("q", "s", F.size(F.array_except(x, y)).cast("bigint").alias("miss"), F.round(F.size(F.array_except(x, y)) / F.greatest(F.size(x), F.lit(1)), 6).alias("frac"))
+
+
+def number_features(spark, sf):  # noqa: ANN001, ANN201
+    """Numbers of made-up addresses: key and size of either part."""
+    p = _part_pairs(spark, sf).select("q", "s", F.concat_ws(" ", F.lit("no"), F.col("q"), F.lit("rd"), F.col("z1")).alias("a"), F.concat_ws(" ", F.lit("no"), F.col("s"), F.lit("rd"), F.col("z2")).alias("b"))
+    return p.select("q", "s", *[F.round(c, 6).alias(k) for k, c in P.number_features(F.col("a"), F.col("b")).items()])
+
+
+def acronym_match(spark, sf):  # noqa: ANN001, ANN201
+    p = _part_pairs(spark, sf).select("q", "s", "n1", F.when(F.col("q") % 3 == 0, initials(F.col("n1"))).when(F.col("q") % 3 == 1, F.concat(initials(F.col("n1")), F.lit("x"))).otherwise(F.col("n2")).alias("n2"))
+    return p.select("q", "s", *[c.alias(k) for k, c in P.acronym_features(F.col("n1"), F.col("n2")).items()], glued(F.col("n1")).alias("glued"))
+
+
+def legal_overlap(spark, sf):  # noqa: ANN001, ANN201
+    p = _part_pairs(spark, sf).withColumns({"l1": F.when(F.col("q") % 3 == 0, "co ltd").when(F.col("q") % 3 == 1, "ltd").otherwise(""), "l2": F.when(F.col("s") % 2 == 0, "ltd").otherwise("inc")})
+    return p.select("q", "s", *[c.alias(k) for k, c in P.legal_features(F.col("l1"), F.col("l2")).items()])
+
+
+def exact_flags(spark, sf):  # noqa: ANN001, ANN201
+    return _part_pairs(spark, sf).select("q", "s", P.flag(F.col("n1") == F.col("n2")).alias("exact"), P.flag(F.col("z1") == F.col("z2")).alias("size_eq"), F.least(F.greatest(F.col("z1") - F.col("z2"), F.lit(-1)), F.lit(1)).alias("clipped"), (F.least(F.length("n1"), F.length("n2")) / F.greatest(F.length("n1"), F.length("n2"))).alias("len_ratio")).withColumn("len_ratio", F.round("len_ratio", 6))
+
+
+def jaro_winkler_pairs(spark, sf):  # noqa: ANN001, ANN201
+    ship(spark)
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("q"), F.lower("n_name").alias("a"), "n_regionkey")
+    m = n.select(F.col("q").alias("s"), F.col("a").alias("b"), "n_regionkey")
+    return n.join(m, "n_regionkey").select("q", "s", F.round(S.jaro_winkler_sim(F.col("a"), F.col("b")), 6).alias("jw"))
+
+
+def _names(spark, sf):  # noqa: ANN001, ANN202
+    ship(spark)
+    return _part_pairs(spark, sf).select("q", "s", F.lower("n1").alias("a"), F.lower(F.concat_ws(" ", "n2", "t1")).alias("b"))
+
+
+def indel_ratio_pairs(spark, sf):  # noqa: ANN001, ANN201
+    return _names(spark, sf).select("q", "s", F.round(S.ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+def token_sort_ratio(spark, sf):  # noqa: ANN001, ANN201
+    return _names(spark, sf).select("q", "s", F.round(S.token_sort(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+def token_set_ratio(spark, sf):  # noqa: ANN001, ANN201
+    return _names(spark, sf).select("q", "s", F.round(S.token_set(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+def partial_ratio(spark, sf):  # noqa: ANN001, ANN201
+    return _names(spark, sf).select("q", "s", F.round(S.partial(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+def token_cover_miss(spark, sf):  # noqa: ANN001, ANN201
+    return _names(spark, sf).select("q", "s", S.misses(F.col("a"), F.col("b")).alias("miss_12"), S.misses(F.col("b"), F.col("a")).alias("miss_21"))
+
+
+def alias_best(spark, sf):  # noqa: ANN001, ANN201
+    return _names(spark, sf).select("q", "s", F.round(F.greatest(S.token_set(F.col("a"), F.col("b")), S.token_set(F.reverse("a"), F.col("b"))), 6).alias("best"))
+
+
+def similarity_bins_crosstab(spark, sf):  # noqa: ANN001, ANN201
+    j = P.jaccard(F.col("n1"), F.col("n2"))
+    bins = F.when(j == 0, "0").when(j < 0.5, "0-0.5").when(j < 1, "0.5-1").otherwise("1")
+    return _part_pairs(spark, sf).select(bins.alias("bin"), F.abs(F.col("z1") - F.col("z2")).alias("d")).groupBy("bin").pivot("d", [0, 1, 2]).count().na.fill(0).select("bin", F.col("0").alias("d0"), F.col("1").alias("d1"), F.col("2").alias("d2"))
+
+
+def s1_exact_name_count(spark, sf):  # noqa: ANN001, ANN201
+    p = _part_pairs(spark, sf)
+    return p.groupBy("q").agg(F.sum((F.col("n1") == F.col("n2")).cast("bigint")).alias("n_exact"), F.count(F.lit(1)).alias("n_cand"), F.count_distinct("n2").alias("n_names"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (token_jaccard, token_miss, number_features, acronym_match, legal_overlap, exact_flags, jaro_winkler_pairs, indel_ratio_pairs, token_sort_ratio, token_set_ratio, partial_ratio, token_cover_miss, alias_best, similarity_bins_crosstab, s1_exact_name_count)
+}
+
+_J = "list_distinct(string_split(n1, ' ')) AS x, list_distinct(string_split(n2, ' ')) AS y"
+_INI = "array_to_string(list_transform(string_split({}, ' '), lambda w: substr(w, 1, 1)), '')"
+ORACLES = {
+    "token_jaccard": f"WITH {_PART_PAIRS}, j AS (SELECT q, s, {_J} FROM pp) SELECT q, s, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE, 6) AS jaccard, len(list_intersect(x, y)) AS shared FROM j",
+    "token_miss": f"WITH {_PART_PAIRS}, j AS (SELECT q, s, string_split(n1, ' ') AS x, string_split(n2, ' ') AS y FROM pp), k AS (SELECT *, len(list_distinct(list_filter(x, lambda w: NOT list_contains(y, w)))) AS m FROM j) SELECT q, s, m AS miss, round(m / len(x)::DOUBLE, 6) AS frac FROM k",
+    "number_features": f"""WITH {_PART_PAIRS}, n AS (SELECT q, s, [q::VARCHAR, z1::VARCHAR] AS x, [s::VARCHAR, z2::VARCHAR] AS y, q::VARCHAR AS f1, s::VARCHAR AS f2 FROM pp), m AS (SELECT *, len(list_distinct(list_intersect(x, y))) AS i, len(list_distinct(x || y)) AS u FROM n)
+SELECT q, s, 2.0::DOUBLE AS num_n1, 2.0::DOUBLE AS num_n2, len(list_distinct(list_filter(x, lambda w: NOT list_contains(y, w))))::DOUBLE AS num_only_1, len(list_distinct(list_filter(y, lambda w: NOT list_contains(x, w))))::DOUBLE AS num_only_2, round(ln(1 + abs(q - s)::DOUBLE), 6) AS num_first_logdiff,
+(right(f1, 2) = right(f2, 2))::INT::DOUBLE AS num_first_last2_eq, round(i / u::DOUBLE, 6) AS num_jacc, (i > 0)::INT::DOUBLE AS num_any, (i = 0)::INT::DOUBLE AS num_conflict, (f1 = f2)::INT::DOUBLE AS num_first_eq, (length(f1) > 1 AND length(f2) > 1 AND (suffix(f1, f2) OR suffix(f2, f1)))::INT::DOUBLE AS num_first_suffix FROM m""",
+    "acronym_match": f"""WITH {_PART_PAIRS}, n AS (SELECT q, s, n1, CASE WHEN q % 3 = 0 THEN {_INI.format("n1")} WHEN q % 3 = 1 THEN {_INI.format("n1")} || 'x' ELSE n2 END AS n2 FROM pp),
+m AS (SELECT q, s, {_INI.format("n1")} AS ia, {_INI.format("n2")} AS ib, replace(n1, ' ', '') AS ga, replace(n2, ' ', '') AS gb FROM n)
+SELECT q, s, (ia = gb AND length(ia) > 1)::INT::DOUBLE AS acro_12, (ib = ga AND length(ib) > 1)::INT::DOUBLE AS acro_21, (starts_with(gb, ia) AND length(ia) > 1)::INT::DOUBLE AS acro_prefix, ga AS glued FROM m""",
+    "legal_overlap": f"""WITH {_PART_PAIRS}, l AS (SELECT q, s, CASE WHEN q % 3 = 0 THEN ['co', 'ltd'] WHEN q % 3 = 1 THEN ['ltd'] ELSE []::VARCHAR[] END AS x, CASE WHEN s % 2 = 0 THEN ['ltd'] ELSE ['inc'] END AS y FROM pp)
+SELECT q, s, len(x)::DOUBLE AS legal_n1, len(y)::DOUBLE AS legal_n2, len(list_intersect(x, y))::DOUBLE AS legal_inter, (len(x) > 0 AND len(list_intersect(x, y)) = 0)::INT::DOUBLE AS legal_conflict FROM l""",
+    "exact_flags": f"WITH {_PART_PAIRS} SELECT q, s, (n1 = n2)::INT::DOUBLE AS exact, (z1 = z2)::INT::DOUBLE AS size_eq, least(greatest(z1 - z2, -1), 1) AS clipped, round(least(length(n1), length(n2)) / greatest(length(n1), length(n2))::DOUBLE, 6) AS len_ratio FROM pp",
+    "jaro_winkler_pairs": "SELECT a.n_nationkey AS q, b.n_nationkey AS s, round(jaro_winkler_similarity(lower(a.n_name), lower(b.n_name)), 6) AS jw FROM nation a JOIN nation b USING (n_regionkey)",
+    "similarity_bins_crosstab": f"WITH {_PART_PAIRS}, j AS (SELECT abs(z1 - z2) AS d, {_J} FROM pp), k AS (SELECT d, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE AS j FROM j) SELECT CASE WHEN j = 0 THEN '0' WHEN j < 0.5 THEN '0-0.5' WHEN j < 1 THEN '0.5-1' ELSE '1' END AS bin, count(*) FILTER (d = 0) AS d0, count(*) FILTER (d = 1) AS d1, count(*) FILTER (d = 2) AS d2 FROM k GROUP BY bin",
+    "s1_exact_name_count": f"WITH {_PART_PAIRS} SELECT q, sum((n1 = n2)::INT)::BIGINT AS n_exact, count(*) AS n_cand, count(DISTINCT n2) AS n_names FROM pp GROUP BY q",
+}

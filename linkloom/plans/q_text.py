@@ -1,4 +1,161 @@
-"""Queries."""
+"""Normalisation queries."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from linkloom.functions import line_a, line_b, translit
+from linkloom.functions.tokens import collapse_initials, dedupe_consecutive, fix_leet, joined, tokens
+from linkloom.plans.q_retrieval import t
+from linkloom.shipping import ship
+
+#: Names and addresses that show each rule; (id, name, address, country).
+SAMPLES = (
+    (1, "L.L.C. Halotavo", "0701 Main St, TX, 00272", "us"),
+    (2, "n0rth 5ons Ltd", "2nd Floor, 12 Main St", "us"),
+    (3, "Halotavo F/K/A Roach Beverage Corp", "12 n main rd,, maharashtra, 400001", "india"),
+    (4, "www.indriya-club.com", "P.O. Box 12, 3rd Ave", "us"),
+    (5, "Acme Acme (ID: 77) | www.acme.com", "po box 44, 5 opp park, CA 90210", "us"),
+    (6, "raj & sons pvt. ltd.", "0083-231 nr temple, tn", "india"),
+    (7, "The L L C", "null, n/a, 7 r victor hugo, 075001", "france"),
+    (8, "bright producer private limited group", "darby CITY, new jersey, 0001", "us"),
+    (9, "Elan 12345678 #99 holdings", "a@b.com 9 west virginia rd", "us"),
+    (10, "", "", "us"),
+    (11, "xerox wheels dba quick box", "door no 5, sector 9, new delhi, 110001", "india"),
+    (12, "a1b c4t 77", "12/4 st, washington, wa", "us"),
+)
+
+
+def _samples(spark):  # noqa: ANN001, ANN202
+    rows = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"), F.lit(a).alias("addr"), F.lit(c).alias("country")) for i, n, a, c in SAMPLES])
+    return spark.range(1).select(F.inline(rows))
+
+
+def _first_words(spark, sf, n=12):  # noqa: ANN001, ANN202
+    """The first words of each document, lower-cased letters and digits only."""
+    words = F.slice(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""), 1, n)
+    return t(spark, sf, "documents").select("doc_id", F.explode(F.array(words)).alias("w"))
+
+
+def leet_fix(spark, sf):  # noqa: ANN001, ANN201
+    mixed = F.transform("w", lambda x, i: F.when(i % 2 == 0, F.translate(x, "oea", "034")).otherwise(x))
+    return _first_words(spark, sf).select("doc_id", joined(fix_leet(mixed)).alias("fixed"))
+
+
+def collapse_initials_q(spark, sf):  # noqa: ANN001, ANN201
+    single = F.transform("w", lambda x, i: F.when(i % 4 < 2, F.substring(x, 1, 1)).otherwise(x))
+    return _first_words(spark, sf).select("doc_id", joined(collapse_initials(single)).alias("collapsed"))
+
+
+def dedupe_consecutive_q(spark, sf):  # noqa: ANN001, ANN201
+    return _first_words(spark, sf, 60).select("doc_id", joined(dedupe_consecutive(F.transform("w", lambda x: F.substring(x, 1, 1)))).alias("deduped"))
+
+
+def array_set_ops(spark, sf):  # noqa: ANN001, ANN201
+    w = _first_words(spark, sf, 20).select("doc_id", F.slice("w", 1, 10).alias("a"), F.transform(F.slice("w", 6, 15), lambda x: x).alias("b"))
+    s = lambda c: F.array_join(F.array_sort(c), " ")
+    return w.select("doc_id", s(F.array_intersect("a", "b")).alias("both"), s(F.array_except("a", "b")).alias("only_a"), s(F.array_union("a", "b")).alias("either"))
+
+
+def phonetic_skeleton_a(spark, sf):  # noqa: ANN001, ANN201
+    return _first_words(spark, sf).select("doc_id", line_a.phonetic(joined(F.col("w"))).alias("phonetic"))
+
+
+def phonetic_skeleton_b(spark, sf):  # noqa: ANN001, ANN201
+    return _first_words(spark, sf).select("doc_id", line_b.skeleton_expr(joined(F.col("w"))).alias("skeleton"))
+
+
+def noise_markers(spark, sf):  # noqa: ANN001, ANN201
+    d = t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("name"), F.substring("text", 61, 60).alias("addr"))
+    return d.select("doc_id", *[c.alias(k) for k, c in line_b.noise_markers(F.col("name"), F.col("addr")).items()])
+
+
+def clean_domain(spark, sf):  # noqa: ANN001, ANN201
+    stem, flag = line_a.domain_stem(F.lower("url"))
+    return t(spark, sf, "pages").select("page_id", stem.alias("stem"), flag.alias("is_domain"), line_b.name_expr(F.col("url")).alias("name_b"))
+
+
+def url_tail_strip(spark, sf):  # noqa: ANN001, ANN201
+    p = t(spark, sf, "pages").select("page_id", F.concat(F.lit("Shop "), F.col("page_id").cast("string"), F.lit(" (ID: "), F.col("page_id").cast("string"), F.lit(") | "), F.col("url")).alias("raw"))
+    return p.select("page_id", F.trim(line_a.strip_tags(F.col("raw"))).alias("stripped"))
+
+
+def name_clean_a(spark, sf):  # noqa: ANN001, ANN201
+    ship(spark)
+    return line_a.clean_name(_samples(spark), "name").select("id", "name_clean", "name_core", "name_alt", "legal", "name_nonlatin", "name_is_domain")
+
+
+def clean_address(spark, sf):  # noqa: ANN001, ANN201
+    ship(spark)
+    return line_a.clean_address(_samples(spark), "addr", "country").select("id", "addr_clean", "addr_nums", "state", "postcode")
+
+
+def normalize_b(spark, sf):  # noqa: ANN001, ANN201
+    ship(spark)
+    return line_b.normalize(_samples(spark)).select("id", "name_n", "core_n", "skel", "addr_n", "addr_c", "core_c", "legal")
+
+
+def legal_set(spark, sf):  # noqa: ANN001, ANN201
+    """Legal forms of part types read as names: the last word becomes a legal word by the key."""
+    forms = F.array(*[F.lit(w) for w in ("incorporated", "company", "ltd", "private limited", "cie")])
+    p = t(spark, sf, "part").select("p_partkey", F.concat_ws(" ", F.lower("p_name"), F.get(forms, (F.col("p_partkey") % 5).cast("int"))).alias("n"))
+    return p.select("p_partkey", line_b.legal_forms(F.col("n")).alias("legal"), joined(line_a.legal_of(tokens(F.col("n")))).alias("legal_a"))
+
+
+def translit_docs(spark, sf):  # noqa: ANN001, ANN201
+    ship(spark)
+    return t(spark, sf, "documents").select("doc_id", translit.ascii_text(F.substring("text", 1, 200)).alias("plain"))
+
+
+def profile_columns(spark, sf):  # noqa: ANN001, ANN201
+    from linkloom.sources.tables import profile
+
+    out = profile(t(spark, sf, "documents"))
+    return out.select("n", "column", *[F.round(c, 6).alias(c) for c in ("null_share", "empty_share", "mean_length")])
+
+
+QUERIES = {
+    "leet_fix": leet_fix, "collapse_initials": collapse_initials_q, "dedupe_consecutive": dedupe_consecutive_q, "array_set_ops": array_set_ops,
+    "phonetic_skeleton_a": phonetic_skeleton_a, "phonetic_skeleton_b": phonetic_skeleton_b, "noise_markers": noise_markers, "clean_domain": clean_domain,
+    "url_tail_strip": url_tail_strip, "alias_split_legal_core": name_clean_a, "clean_address": clean_address, "normalize_b": normalize_b,
+    "legal_set": legal_set, "translit_docs": translit_docs, "profile_columns": profile_columns,
+}
+
+_W = "w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:{n}] AS w FROM documents)"
+_SPACES = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+# A token at even places is written with digits for letters, as in the query.
+_SKEL = "array_to_string(w, ' ')"
+for _a, _b in (("0", "o"), ("1", "l"), ("3", "e"), ("4", "a"), ("5", "s"), ("6", "g"), ("8", "b")):
+    _SKEL = f"regexp_replace({_SKEL}, '([a-z]){_a}|{_a}([a-z])', '\\1{_b}\\2', 'g')"
+for _a, _b in (("ph", "f"), ("bh", "b"), ("dh", "d"), ("th", "t"), ("kh", "k"), ("gh", "g"), ("sh", "s"), ("ch", "c"), ("ck", "k"), ("q", "k"), ("x", "ks"), ("z", "s"), ("c", "k"), ("w", "v"), ("v", "b")):
+    _SKEL = f"replace({_SKEL}, '{_a}', '{_b}')"
+_SKEL = f"regexp_replace({_SKEL}, '[aeiouyh]', '', 'g')"
+for _c in "bdfgjklmnprstv":
+    _SKEL = f"regexp_replace({_SKEL}, '{_c}{_c}+', '{_c}', 'g')"
+
+ORACLES = {
+    "leet_fix": f"WITH {_W.format(n=12)}, m AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN i % 2 = 1 THEN translate(x, 'oea', '034') ELSE x END) AS w FROM w) SELECT doc_id, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') AND length(regexp_replace(x, '[^a-z]', '', 'g')) >= 2 THEN translate(x, '0134578', 'oleastb') ELSE x END), ' ') AS fixed FROM m",
+    "collapse_initials": f"""WITH {_W.format(n=12)}, m AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN (i - 1) % 4 < 2 THEN substr(x, 1, 1) ELSE x END) AS w FROM w),
+e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM m), f AS (SELECT *, regexp_matches(x, '^[a-z]$') AND coalesce(regexp_matches(lag(x) OVER (PARTITION BY doc_id ORDER BY i), '^[a-z]$'), false) AS glue FROM e),
+g AS (SELECT doc_id, i, (CASE WHEN glue OR i = 1 THEN '' ELSE ' ' END) || x AS x FROM f)
+SELECT d.doc_id, coalesce(string_agg(g.x, '' ORDER BY g.i), '') AS collapsed FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id""",
+    "dedupe_consecutive": f"WITH {_W.format(n=60)}, m AS (SELECT doc_id, list_transform(w, lambda x: substr(x, 1, 1)) AS w FROM w) SELECT doc_id, array_to_string(list_filter(w, lambda x, i: i = 1 OR x <> w[i - 1]), ' ') AS deduped FROM m",
+    "array_set_ops": f"WITH {_W.format(n=20)}, m AS (SELECT doc_id, w[1:10] AS a, w[6:20] AS b FROM w) SELECT doc_id, array_to_string(list_sort(list_distinct(list_intersect(a, b))), ' ') AS both, array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))), ' ') AS only_a, array_to_string(list_sort(list_distinct(a || b)), ' ') AS either FROM m",
+    "phonetic_skeleton_b": f"WITH {_W.format(n=12)} SELECT doc_id, {_SPACES.format(_SKEL)} AS skeleton FROM w",
+    "noise_markers": """WITH d AS (SELECT doc_id, substr(text, 1, 60) AS name, substr(text, 61, 60) AS addr FROM documents), k AS (SELECT *, regexp_extract_all(lower(name), '[a-z]+') AS tk FROM d)
+SELECT doc_id, (len(tk) > len(list_distinct(tk)))::INT::DOUBLE AS mk_dup, regexp_matches(name, '[À-ÿ]')::INT::DOUBLE AS mk_accent, regexp_matches(name, '[A-Za-z][0-9][A-Za-z]')::INT::DOUBLE AS mk_ocr, regexp_matches(name, '^[^\\p{L}\\p{M}\\p{N}_]')::INT::DOUBLE AS mk_junk,
+regexp_matches(name, '[\\[(]')::INT::DOUBLE AS mk_brackets, regexp_matches(name, '[ऀ-෿]')::INT::DOUBLE AS mk_script, regexp_matches(name, '\\.com|www|\\.in\\b|\\.net')::INT::DOUBLE AS mk_domain, (name = upper(name))::INT::DOUBLE AS mk_upper_name,
+regexp_matches(addr, '\\b0+[1-9][0-9]*')::INT::DOUBLE AS mk_zeropad, regexp_matches(addr, '##|#[0-9]')::INT::DOUBLE AS mk_hash, regexp_matches(lower(addr), 'po box|pmb')::INT::DOUBLE AS mk_pobox, (addr = upper(addr) AND addr <> '')::INT::DOUBLE AS mk_upper_addr FROM k""",
+    "clean_domain": f"""WITH d AS (SELECT page_id, lower(url) AS u, regexp_extract(lower(url), '^(?:https?://)?(?:www\\.)?([a-z0-9\\-]+)\\.(?:com|net|org|in|co\\.in|co|fr|io|biz|us|info)\\b', 1) AS s, url FROM pages)
+SELECT page_id, CASE WHEN s <> '' AND NOT contains(u, ' ') THEN replace(s, '-', ' ') ELSE u END AS stem, (s <> '' AND NOT contains(u, ' '))::INT AS is_domain,
+{_SPACES.format("regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(u, '(https?://)?(www\\.)?([a-z0-9\\-]+)\\.(com|net|org|co\\.in|in|co|fr|biz|info|us)\\b', ' \\3 ', 'g'), '#\\s*[0-9]+', ' ', 'g'), '&', ' and '), '[''.]', '', 'g'), '[^a-z0-9]+', ' ', 'g')")} AS name_b FROM d""",
+    "url_tail_strip": "SELECT page_id, trim(regexp_replace(regexp_replace('Shop ' || page_id || ' (ID: ' || page_id || ') | ' || url, '\\(\\s*id\\s*:?\\s*\\d+\\s*\\)', ' ', 'gi'), '\\|\\s*(?:https?://)?(?:www\\.)?\\S+\\s*$', ' ', 'gi')) AS stripped FROM pages",
+    "legal_set": """WITH p AS (SELECT p_partkey, lower(p_name) || ' ' || ['incorporated', 'company', 'ltd', 'private limited', 'cie'][p_partkey % 5 + 1] AS n FROM part),
+b AS (SELECT * FROM (VALUES ('inc','inc'),('incorporated','inc'),('corp','corp'),('corporation','corp'),('co','co'),('company','co'),('ltd','ltd'),('limited','ltd'),('pvt','pvt'),('private','pvt'),('cie','co')) v(w, f)),
+x AS (SELECT p_partkey, f, w FROM (SELECT p_partkey, unnest(string_split(n, ' ')) AS w FROM p) JOIN b USING (w))
+SELECT p_partkey, coalesce(string_agg(DISTINCT f, ' ' ORDER BY f), '') AS legal, coalesce(string_agg(DISTINCT CASE WHEN w <> 'cie' THEN f END, ' ' ORDER BY CASE WHEN w <> 'cie' THEN f END), '') AS legal_a FROM x GROUP BY p_partkey""",
+    "profile_columns": " UNION ALL ".join(
+        f"SELECT count(*) AS n, '{c}' AS \"column\", round(avg(({c} IS NULL)::INT), 6) AS null_share, round(avg((coalesce({c}::VARCHAR, '') = '')::INT), 6) AS empty_share, round(avg(length({c}::VARCHAR)), 6) AS mean_length FROM documents"
+        for c in ("doc_id", "text", "lang", "source", "n_chars")
+    ),
+}
