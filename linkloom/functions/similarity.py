@@ -37,8 +37,12 @@ def indel_ratio(a: str, b: str) -> float:
 
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter string with a window of the longer of its length, cut ones at both ends included."""
-    if len(a) > len(b):
-        a, b = b, a
+    if len(a) == len(b):
+        return max(_windows(a, b), _windows(b, a))
+    return _windows(a, b) if len(a) < len(b) else _windows(b, a)
+
+
+def _windows(a: str, b: str) -> float:
     if not a:
         return 1.0 if not b else 0.0
     if a in b:
