@@ -4,8 +4,9 @@ Documents with the same shingle set meet first and are one node. The others shar
 bins of a band agree; each bucket gives star-shaped candidate edges (to its smallest and its largest
 node), so the number of pairs grows with nodes times bands, whatever the size of a bucket. Every
 candidate is confirmed on the full sets. Buckets whose nodes still lie in several components after
-that are looked at once more: only there are pairs of different components compared, so that no link
-that a bucket shows is lost.
+that are looked at once more: only there are nodes of different components compared, so that no link
+that a bucket shows is lost. Small buckets give pairs; large ones are compared in blocks from which
+only links come back.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ SHINGLE, PERCENT = 5, 75
 #: Rows in a band and bands: a pair at 0.75 shares no bucket with probability (1 - 0.75**5)**48, about 2 in a million.
 ROWS, BANDS = 5, 48
 SLICE = 3_000_000
+#: Buckets of up to this many nodes are compared pair by pair; larger ones by families, in blocks of about this many shingles.
+SMALL, BLOCK_SHINGLES = 24, 250_000
 
 
 class Sketcher:
@@ -117,6 +121,57 @@ def components(cuts: Cuts, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def _families(cuts: Cuts, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components in large buckets (node, n, label, low: the bucket's smallest node).
+
+    Buckets that share nodes form a family. Its nodes outside its most frequent component are compared with all its
+    nodes, in blocks of bounded size, on full sets; only links leave a block, one for each node and component met.
+    """
+    hubs = large.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    family = components(cuts, hubs, "families")
+    nodes = large.select("node", "n", "label").distinct().join(family.select("node", F.col("label").alias("family")), "node")
+    nodes = cuts.write(nodes, "family-nodes")
+    votes = nodes.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = votes.groupBy("family").agg(F.min_by("label", F.struct(-F.col("c"), F.col("label"))).alias("main"))
+    parts = nodes.join(main, "family")
+    blocks = parts.groupBy("family", "main").agg(
+        F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("n_all"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("label") != F.col("main"), F.col("n"))) / BLOCK_SHINGLES)).cast("int").alias("n_rest")
+    )
+    parts = nodes.join(blocks, "family").select("node", "n", "label", "family", "main", "n_all", "n_rest")
+    at = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    every = parts.select("node", "label", "family", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("i"), at("n_all").alias("j"))
+    rest = parts.where("label <> main").select("node", "label", "family", F.lit(0).alias("side"), at("n_rest").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"))
+    dealt = every.union(rest).join(sets, "node")
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["side"] == 0].sort_values("node"), rows[rows["side"] == 1].sort_values("node")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        size = [side["shingles"].map(len).to_numpy() for side in (left, right)]
+        flat = [np.concatenate(side["shingles"].to_list()) for side in (left, right)]
+        shared = np.intersect1d(*(np.unique(f) for f in flat))
+        inter = np.zeros((len(left), len(right)), np.float32)
+        columns = [np.searchsorted(shared, f) for f in flat]
+        hits = [(c < len(shared)) & (shared[np.minimum(c, len(shared) - 1)] == f) if len(shared) else np.zeros(len(f), bool) for c, f in zip(columns, flat, strict=True)]
+        owner = [np.repeat(np.arange(len(s)), s)[h] for s, h in zip(size, hits, strict=True)]
+        columns = [c[h] for c, h in zip(columns, hits, strict=True)]
+        for lo in range(0, len(shared), 4096):
+            dense = []
+            for side in (0, 1):
+                part = (columns[side] >= lo) & (columns[side] < lo + 4096)
+                m = np.zeros((len(size[side]), min(4096, len(shared) - lo)), np.float32)
+                m[owner[side][part], columns[side][part] - lo] = 1
+                dense.append(m)
+            inter += dense[0] @ dense[1].T
+        union = size[0][:, None] + size[1][None, :] - inter
+        lab = [side["label"].to_numpy() for side in (left, right)]
+        a, b = np.nonzero((inter * 100 >= union * percent) & (lab[0][:, None] != lab[1][None, :]))
+        out = pd.DataFrame({"a": left["node"].to_numpy()[a], "b": right["node"].to_numpy()[b], "label": lab[1][b]})
+        return out.drop_duplicates(["a", "label"])[["a", "b"]]
+
+    return dealt.groupBy("family", "i", "j").applyInPandas(links, "a bigint, b bigint")
+
+
 def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -156,13 +211,17 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col
     labels = components(cuts, links, "near")
     # Buckets whose nodes lie in several components: compare across components there.
     named = members.join(labels, "node", "left").select("band", "h", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "h")
+    mixed = named.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("node").alias("low")).where("lo < hi").select("band", "h", "m", "low")
     named = cuts.write(named.join(mixed, ["band", "h"]), "mixed")
-    x, y = named.alias("x"), named.alias("y")
+    small = named.where(F.col("m") <= SMALL)
+    x, y = small.alias("x"), small.alias("y")
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
     sized = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     more = x.join(y, across & sized).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     found = confirm(cuts.write(more, "more"), "more-links")
+    large = cuts.write(named.where(F.col("m") > SMALL).select("node", "n", "label", "low").distinct(), "large")
+    if large.limit(1).count():
+        found = cuts.write(found.union(_families(cuts, large, sets, percent)), "all-links")
     if found.limit(1).count():
         labels = components(cuts, links.union(found), "all")
     named_sets = nodes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id"))
