@@ -46,9 +46,13 @@ def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return rule, verdict
 
 
-def _grams(text: Column, order: int) -> Column:
-    padded = F.concat(F.lit("\u0002" * order), text, F.lit("\u0003"))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(order + 1)))
+def _with_grams(urls: DataFrame, order: int) -> DataFrame:
+    """``urls`` with one row for each character and the end mark: the gram that ends there. Cost is linear in the text: the
+    generator keeps the split text from being computed again for each gram."""
+    padded = F.concat(F.lit("\u0002" * order), F.col("text"), F.lit("\u0003"))
+    chars = urls.withColumn("_c", F.explode(F.array(F.split(padded, ""))))
+    ends = F.sequence(F.lit(1), F.size("_c") - order)
+    return chars.withColumn("gram", F.explode(F.transform(ends, lambda i: F.array_join(F.slice("_c", i, order + 1), "")))).drop("_c")
 
 
 def _gram_scores(cuts: Cuts, grams: DataFrame, order: int) -> DataFrame:
@@ -117,7 +121,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     acc = F.when(F.col("by_rule") == "allow", F.col("n")).otherwise(0)
     rej = F.when(F.col("by_rule") == "block", F.col("n")).otherwise(0)
     urls = cuts.write(urls.select("text", F.xxhash64("text").alias("u"), acc.alias("acc"), rej.alias("rej")), "urls")
-    grams = urls.select("text", "acc", "rej", F.explode(_grams(F.col("text"), order)).alias("gram"))
+    grams = _with_grams(urls.select("text", "acc", "rej"), order)
     scores = cuts.write(_gram_scores(cuts, grams, order), "scores")
     # A gram that most URLs hold ("://", "http") makes a skewed key here; its partition can be split, as this is a plain join.
     scored = cuts.write(grams.join(scores, "gram").groupBy("text", "acc", "rej").agg((F.sum(F.col("llr").cast("decimal(20,9)")) / F.count(F.lit(1))).cast("double").alias("score")), "urls-scored")
