@@ -11,6 +11,7 @@ token counts.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -66,10 +67,16 @@ class WordEncoder:
             self.old, self.memo = self.memo, {"": b""}
         # These four white-space characters end chunks; any other stays inside one, where the tokenizer sees it.
         chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*chunks) - self.memo.keys()
-        self._learn(new)
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
+        watched = gc.isenabled()
+        gc.disable()  # the many short-lived lists here hold no cycles
+        got = [list(map(self.memo.get, c)) for c in chunks]
+        gaps = [(g, c) for g, c in zip(got, chunks, strict=True) if None in g]
+        self._learn({w for g, c in gaps for i, w in zip(g, c, strict=True) if i is None})
+        for g, c in gaps:
+            g[:] = [self.memo[w] if i is None else i for i, w in zip(g, c, strict=True)]
+        out = [b"".join(g) for g in got]
+        if watched:
+            gc.enable()
         for i, text in enumerate(texts):
             if "\u0130" in text:  # its lower case is longer; what the library makes of that depends on what stands around
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
