@@ -55,11 +55,12 @@ def run_line_a(sources: dict[str, DataFrame], truth: DataFrame, k: int = 15, lea
     recs = line_a.clean_frame(sources["2"].unionByName(sources["3"]))
     cand = retrieval_features(candidates_a(ents, recs, k), ents, recs)
     labelled = cand.join(truth.withColumn("label", F.lit(1)), ["rid", "s1"], "left").na.fill(0, ["label"])
-    labelled = labelled.withColumn("role", sample.role(F.col("s1"), 50, 10))
+    labelled = labelled.withColumn("role", sample.role(F.col("s1"), 50, 10)).persist()
     cheap = models.feature_columns(labelled)
     pruner = models.Matcher(cheap, rounds=max(5, rounds // 2), depth=4).fit(labelled.where("role = 1"))
     pruned = models.prune(labelled, pruner, least)
     full = pairs.features_a(_sides(pruned, ents, recs, KEEP_A))
+    full = full.persist()
     columns = [c for c in models.feature_columns(full) if not c.endswith(("_1", "_2")) and c not in ("q",)]
     matcher = models.Matcher(columns, rounds=rounds).fit(full.where("role = 1"))
     scored = matcher.score(full).select("rid", "s1", "p", "label", "role")
@@ -82,6 +83,7 @@ def run_line_b(sources: dict[str, DataFrame], truth: DataFrame, k: int = 10, rou
     for view, queries in (("z", others), ("za", others.where("addr_n <> ''")), ("zn", others.where("addr_n = ''"))):
         found = knn.knn_by_group(queries, ents, "country", "entity_id", "entity_id", view, k).select(F.lit(view).alias("view"), "q", "s", "rank", "score")
         nb = found if nb is None else nb.unionByName(found)
+    nb = nb.persist()
     chosen = policy.hub_cap(policy.view_policy(nb, {"z": (5, 0.2, -1.0), "za": (2, 0.05, 0.8), "zn": (5, 0.1, -1.0)}), 15)
     cand = policy.pair_union(chosen).select(F.col("q").alias("rid"), F.col("s").alias("s1"))
     best = nb.where("view = 'z'").select(F.col("q").alias("rid"), F.col("s").alias("s1"), F.col("score").alias("z_cos"), F.col("rank").cast("double").alias("z_rank"))
@@ -92,8 +94,10 @@ def run_line_b(sources: dict[str, DataFrame], truth: DataFrame, k: int = 10, rou
     feats = feats.join(others.select(F.col("entity_id").alias("rid"), *line_b.MARKERS), "rid")
     labelled = feats.join(truth.withColumn("label", F.lit(1)), ["rid", "s1"], "left").na.fill(0, ["label"])
     labelled = labelled.withColumn("fold", F.pmod(F.xxhash64("s1"), F.lit(folds)))
+    labelled = labelled.persist()  # every fold and both stages read it
     columns = [c for c in models.feature_columns(labelled) if not any(c == f"{x}_{i}" for x in cols for i in (1, 2))]
     first = models.out_of_fold(labelled, lambda: models.Matcher(columns, rounds=rounds), folds)
+    first = first.persist()
     stacked = compete.stack_features(first.select("rid", "s1", "label", "fold", "p", "z_cos", "core_tset", "addr_tset"))
     more = [c for c in models.feature_columns(stacked) if c != "fold"] + ["p"]
     second = models.out_of_fold(stacked.withColumnRenamed("p", "p1"), lambda: models.Matcher([c if c != "p" else "p1" for c in more], rounds=max(5, rounds // 2), depth=3), folds)
