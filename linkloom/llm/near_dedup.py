@@ -189,20 +189,19 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col
     nodes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
     nodes = cuts.write(nodes, "nodes")
     buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
-    stars = buckets.groupBy("band", "h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    stars = buckets.groupBy("band", "h").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node < high.node")
     stars = cuts.write(stars, "stars")
     # Members of buckets with two nodes or more.
     members = cuts.write(buckets.join(stars, ["band", "h"]).select("band", "h", "node", "n", "low", "high"), "members")
-    ends = members.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    tried = cuts.write(ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "tried")
+    ends = members.select(F.struct("node", "n").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x.node <> y.node")
+    pair = lambda p, q: [F.col(f"{p}.node").alias("a"), F.col(f"{p}.n").alias("na"), F.col(f"{q}.node").alias("b"), F.col(f"{q}.n").alias("nb")]
+    tried = cuts.write(ends.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).select(*pair("p", "q")).distinct(), "tried")
     # Full sets of the nodes that share a bucket; the texts of all others stay where they are.
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sets = cuts.write(_sets(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        sizes = nodes.select("node", "n")
-        sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        sized = sized.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        sized = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         full = sized.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         shared = full.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("i"))
         return cuts.write(shared.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"), name)
@@ -217,7 +216,7 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col
     x, y = small.alias("x"), small.alias("y")
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
     sized = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-    more = x.join(y, across & sized).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = x.join(y, across & sized).select(*pair("x", "y")).distinct().join(tried, ["a", "b"], "left_anti")
     found = confirm(cuts.write(more, "more"), "more-links")
     large = cuts.write(named.where(F.col("m") > SMALL).select("node", "n", "label", "low").distinct(), "large")
     if large.limit(1).count():
