@@ -127,9 +127,11 @@ def _families(cuts: Cuts, large: DataFrame, sets: DataFrame, percent: int) -> Da
     Buckets that share nodes form a family. Its nodes outside its most frequent component are compared with all its
     nodes, in blocks of bounded size, on full sets; only links leave a block, one for each node and component met.
     """
-    hubs = large.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    family = components(cuts, hubs, "families")
-    nodes = large.select("node", "n", "label").distinct().join(family.select("node", F.col("label").alias("family")), "node")
+    # Buckets are known by their smallest node: a node ties its buckets to the smallest of those, and few such ties are distinct.
+    tops = large.groupBy("node").agg(F.min("low").alias("top"))
+    ties = large.join(tops, "node").where("low <> top").select(F.col("top").alias("a"), F.col("low").alias("b")).distinct()
+    family = components(cuts, ties, "families").select(F.col("node").alias("top"), F.col("label").alias("family"))
+    nodes = large.select("node", "n", "label").distinct().join(tops, "node").join(family, "top", "left").select("node", "n", "label", F.coalesce("family", "top").alias("family"))
     nodes = cuts.write(nodes, "family-nodes")
     votes = nodes.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
     main = votes.groupBy("family").agg(F.min_by("label", F.struct(-F.col("c"), F.col("label"))).alias("main"))
