@@ -139,3 +139,12 @@ def test_labellers_learn_their_accuracy():
     patterns, counts = np.unique(vote, axis=0, return_counts=True)
     good, accuracy = quality.fit_labellers(patterns, counts.astype(float))
     assert abs(good - 0.7) < 0.05 and accuracy[0].min() > accuracy[3].max()
+
+
+def test_passages_composed_of_earlier_parts(spark):
+    """A long repeat is found though its parts come first, or last before it, from different documents."""
+    a, b = words(30, 21), words(30, 22)
+    texts = {1: a, 2: b, 5: a + b, 6: a, 7: b, 9: a + b}
+    rows = [(i, " ".join(words(40, 300 + i) + t + words(40, 400 + i))) for i, t in texts.items()]
+    got = passages.find_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(9, 5)} and all((r.start_word, r.end_word) == (40, 100) for r in got)
