@@ -148,3 +148,14 @@ def test_passages_composed_of_earlier_parts(spark):
     rows = [(i, " ".join(words(40, 300 + i) + t + words(40, 400 + i))) for i, t in texts.items()]
     got = passages.find_passages(frame(spark, rows)).collect()
     assert {(r.doc_id, r.other_id) for r in got} == {(9, 5)} and all((r.start_word, r.end_word) == (40, 100) for r in got)
+
+
+def test_passages_with_even_substitutions(spark):
+    """Of 50-word passages with every fifth word changed, none is lost."""
+    rows = []
+    for i in range(40):
+        p = words(50, 500 + i)
+        q = [f"other{i}x{j}" if j % 5 == 2 else w for j, w in enumerate(p)]
+        rows += [(2 * i, " ".join(words(60, 600 + i) + p + words(60, 700 + i))), (2 * i + 1, " ".join(words(60, 800 + i) + q + words(60, 900 + i)))]
+    got = passages.find_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(40)}
