@@ -123,8 +123,9 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     urls = cuts.write(urls.select("text", F.xxhash64("text").alias("u"), acc.alias("acc"), rej.alias("rej")), "urls")
     grams = _with_grams(urls.select("text", "acc", "rej"), order)
     scores = cuts.write(_gram_scores(cuts, grams, order), "scores")
+    # Where no URL is labelled, no gram has a score: both models are uniform, the difference is 0.
     # A gram that most URLs hold ("://", "http") makes a skewed key here; its partition can be split, as this is a plain join.
-    scored = cuts.write(grams.join(scores, "gram").groupBy("text", "acc", "rej").agg((F.sum(F.col("llr").cast("decimal(20,9)")) / F.count(F.lit(1))).cast("double").alias("score")), "urls-scored")
+    scored = cuts.write(grams.join(scores, "gram", "left").groupBy("text", "acc", "rej").agg((F.sum(F.coalesce("llr", F.lit(0.0)).cast("decimal(20,9)")) / F.count(F.lit(1))).cast("double").alias("score")), "urls-scored")
     edge = _calibrate(scored)
     by_model = F.when(F.col("score") >= edge, "allow").otherwise("block")
     return judged.join(scored.select("text", "score").distinct(), "text").select(

@@ -90,3 +90,11 @@ def test_url_rules(spark):
     rule, verdict = url_filter.match_rules(F.col("h"), F.col("p"), url_filter.RULES)
     got = df.select(host.alias("h"), path.alias("p")).select("h", "p", rule.alias("r"), verdict.alias("v")).collect()
     assert tuple(got[0]) == ("h.x", "/p", None, None) and tuple(got[1]) == ("notexample.com", "/en/a", "com/", "allow")
+
+
+def test_url_filter_without_labelled_urls(spark):
+    """Tables that no rule fits keep all rows, at score and threshold 0."""
+    for urls in ([None, None], ["http://d.org/en/", None, "no scheme", "", "http://d.org/en/"]):
+        got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()
+        assert sorted(r.page_id for r in got) == list(range(len(urls)))
+        assert {(r.rule, r.verdict, r.score, r.threshold) for r in got} == {(None, "allow", 0.0, 0.0)}
