@@ -63,7 +63,7 @@ def shingle_sets(roll: RollingHash, texts: list[bytes], k: int) -> Iterator[np.n
 
 
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, sketcher = RollingHash(SLICE + SLICE // 2), Sketcher()
@@ -81,10 +81,10 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
                     bands.append(np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))], schema=kinds
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))], schema=kinds
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_key binary, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, row_key string, n bigint, set_key binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -180,15 +180,19 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set holds its distinct k-word
     shingles, or its whole sequence where it has fewer words. Documents are linked where the shared part
     is ``percent`` of the union or more; a component's smallest id stays. Null texts and texts without
-    words have no set and stand alone. Rows that repeat an id share its component through the smallest
-    rows' texts. Ties and copies need no order: the result depends on the texts alone. An empty table
-    gives an empty result. Other columns are not read.
+    words have no set and stand alone. Rows that repeat an id are judged each by its own text, and all rows with a component's
+    smallest id are kept; a null id is never the smallest, unless it is the only one. Ties and copies need no order: the result
+    depends on ids and texts alone. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     cuts = Cuts(spark, "near-dedup")
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("row_key"), text.alias("text"))
     rows = cuts.write(_sketches(base, k), "sketches")
-    nodes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+    # A node is a set, numbered in the order of the smallest id that has it (and the smallest text under that id).
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("f")
+    nodes = rows.where("n > 0").groupBy("set_key").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = nodes.orderBy("f", "set_key").select(F.monotonically_increasing_id().alias("node"), "set_key", "f.doc_id", "f.row_key", "n", "bands")
     nodes = cuts.write(nodes, "nodes")
     buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
     stars = buckets.groupBy("band", "h").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).where("low.node < high.node")
@@ -199,8 +203,9 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col
     pair = lambda p, q: [F.col(f"{p}.node").alias("a"), F.col(f"{p}.n").alias("na"), F.col(f"{q}.node").alias("b"), F.col(f"{q}.n").alias("nb")]
     tried = cuts.write(ends.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).select(*pair("p", "q")).distinct(), "tried")
     # Full sets of the nodes that share a bucket; the texts of all others stay where they are.
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = cuts.write(_sets(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
+    wanted = nodes.select("node", "doc_id", "row_key").join(members.select("node").distinct(), "node", "left_semi").alias("w")
+    one = base.alias("d").join(wanted, (F.col("d.row_key") == F.col("w.row_key")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("node", "text")
+    sets = cuts.write(_sets(one.dropDuplicates(["node"]), k), "sets")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         sized = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -225,10 +230,10 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col
         found = cuts.write(found.union(_families(cuts, large, sets, percent)), "all-links")
     if found.limit(1).count():
         labels = components(cuts, links.union(found), "all")
-    named_sets = nodes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component_id"))
-    return rows.join(named_sets, "set_key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept")
-    )
+    ids = nodes.select(F.col("node").alias("label"), F.col("doc_id").alias("component_id"))
+    named_sets = nodes.select("node", "set_key").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label")).join(ids, "label").select("set_key", "component_id", F.lit(True).alias("named"))
+    smallest = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(named_sets, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), smallest.alias("component_id"), F.col("doc_id").eqNullSafe(smallest).alias("kept"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

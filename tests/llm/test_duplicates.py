@@ -70,6 +70,14 @@ def test_blocks_find_links(spark, monkeypatch):
     assert got == {(1, 2), (1, 4), (2, 4), (3, 5)}
 
 
+def test_near_dedup_with_ids_that_repeat(spark):
+    """Each row is judged by its own text, whatever its id; a null id is nobody's smallest."""
+    a, b, c = " ".join(words(60, 71)), " ".join(words(60, 72)), " ".join(words(60, 73))
+    rows = [(5, a), (5, b), (7, a + " tail"), (9, b + " tail"), (None, c), (11, c + " tail"), (None, "alone here"), (5, b)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (None, 11, False), (11, 11, True), (None, None, True)], key=str)
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.near_dedup(frame(spark, [])).count() == 0
     assert near_dedup.near_dedup(frame(spark, [(1, None)])).first().component_id == 1
