@@ -46,42 +46,43 @@ def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return rule, verdict
 
 
-def _with_grams(urls: DataFrame, order: int) -> DataFrame:
-    """``urls`` with one row for each character and the end mark: the gram that ends there. Cost is linear in the text: the
-    generator keeps the split text from being computed again for each gram."""
+def _with_grams(urls: DataFrame, order: int, *carried: str) -> DataFrame:
+    """One row (``carried`` columns and gram) for each character of ``text`` and the end mark: the gram that ends there. Cost is
+    linear in the text: it is split once, by the first generator, and does not go along."""
     padded = F.concat(F.lit("\u0002" * order), F.col("text"), F.lit("\u0003"))
-    chars = urls.withColumn("_c", F.explode(F.array(F.split(padded, ""))))
+    chars = urls.select(*carried, F.explode(F.array(F.split(padded, ""))).alias("_c"))
     ends = F.sequence(F.lit(1), F.size("_c") - order)
-    return chars.withColumn("gram", F.explode(F.transform(ends, lambda i: F.array_join(F.slice("_c", i, order + 1), "")))).drop("_c")
+    return chars.select(*carried, F.explode(F.transform(ends, lambda i: F.array_join(F.slice("_c", i, order + 1), ""))).alias("gram"))
 
 
 def _gram_scores(cuts: Cuts, grams: DataFrame, order: int) -> DataFrame:
-    """(gram, llr) of each distinct gram: the interpolated log probability of its last character under both models."""
-    counted = cuts.write(grams.groupBy("gram").agg(F.sum("acc").alias("a"), F.sum("rej").alias("r")), "grams")
-    orders = F.array(*[F.lit(k) for k in range(order + 1)])
-    each = counted.select("gram", "a", "r", F.explode(orders).alias("k")).withColumn("tail", F.substring("gram", F.lit(order + 1) - F.col("k"), F.col("k") + 1))
-    tails = each.where("a + r > 0").groupBy("k", "tail").agg(F.sum("a").alias("na"), F.sum("r").alias("nr"))
-    context = F.substring("tail", F.lit(1), F.col("k"))
-    totals = (
-        tails.groupBy("k", context.alias("ctx"))
-        .agg(
-            F.struct(F.sum("na").alias("na"), F.sum((F.col("na") > 0).cast("int")).alias("ta"), F.sum("nr").alias("nr"), F.sum((F.col("nr") > 0).cast("int")).alias("tr")).alias("t"),
-        )
-    )
-    found = each.select("gram", "k", "tail", context.alias("ctx")).join(totals, ["k", "ctx"]).join(tails, ["k", "tail"], "left")
-
-    def fold(n: str, total: str, kinds: str) -> Column:
-        def step(p: Column, x: Column) -> Column:
-            return F.when(x[total] > 0, (x[n] + x[kinds] * p) / (x[total] + x[kinds])).otherwise(p)
-
-        return F.log(F.aggregate("levels", F.lit(1.0 / ALPHABET), step))
+    """(gram, llr) of each distinct gram: the interpolated log probability of its last character under both models.
 
-    zero = F.lit(0).cast("bigint")
-    level = F.struct("k", F.coalesce("na", zero).alias("xa"), F.col("t.na").alias("na"), F.col("t.ta").alias("ta"), F.coalesce("nr", zero).alias("xr"), F.col("t.nr").alias("nr"), F.col("t.tr").alias("tr"))
-    return (
-        found.groupBy("gram").agg(F.sort_array(F.collect_list(level)).alias("levels"))  # at most order + 1 levels
-        .select("gram", (fold("xa", "na", "ta") - fold("xr", "nr", "tr")).alias("llr"))
-    )
+    Levels build on each other: a tail of k + 1 characters takes the probability of its last k from the level below. So no key
+    of any join holds more rows than there are distinct characters, whatever the number of grams.
+    """
+    counted = cuts.write(grams.groupBy("gram").agg(F.sum("acc").alias("a"), F.sum("rej").alias("r")), "grams")
+    sums = [F.sum("na").alias("sa"), F.sum((F.col("na") > 0).cast("int")).alias("ta"), F.sum("nr").alias("sr"), F.sum((F.col("nr") > 0).cast("int")).alias("tr")]
+
+    def mixed(n: str, total: Column, kinds: Column, below: Column) -> Column:
+        return F.when(total > 0, (F.col(n) + kinds * below) / (total + kinds)).otherwise(below)
+
+    level = None
+    for k in range(order + 1):
+        tails = counted.groupBy(F.substring("gram", order + 1 - k, k + 1).alias("tail")).agg(F.sum("a").alias("na"), F.sum("r").alias("nr"))
+        if level is None:
+            whole = tails.agg(*sums).first()  # one row
+            sa, ta, sr, tr = (F.lit(whole[c] or 0) for c in ("sa", "ta", "sr", "tr"))
+            below_a = below_r = F.lit(1.0 / ALPHABET)
+            found = tails
+        else:
+            context = F.substring("tail", 1, k)
+            totals = tails.groupBy(context.alias("ctx")).agg(*sums)
+            found = tails.withColumn("ctx", context).join(totals, "ctx").withColumn("short", F.substring("tail", 2, k))
+            found = found.join(level.select(F.col("tail").alias("short"), F.col("pa").alias("qa"), F.col("pr").alias("qr")), "short")
+            sa, ta, sr, tr, below_a, below_r = (F.col(c) for c in ("sa", "ta", "sr", "tr", "qa", "qr"))
+        level = cuts.write(found.select("tail", mixed("na", sa, ta, below_a).alias("pa"), mixed("nr", sr, tr, below_r).alias("pr")), f"level-{k}")
+    return level.select(F.col("tail").alias("gram"), (F.log("pa") - F.log("pr")).alias("llr"))
 
 
 def _calibrate(scored: DataFrame) -> float:
@@ -120,14 +121,16 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     urls = judged.groupBy("text", "by_rule").agg(F.count(F.lit(1)).alias("n"))
     acc = F.when(F.col("by_rule") == "allow", F.col("n")).otherwise(0)
     rej = F.when(F.col("by_rule") == "block", F.col("n")).otherwise(0)
-    urls = cuts.write(urls.select("text", F.xxhash64("text").alias("u"), acc.alias("acc"), rej.alias("rej")), "urls")
-    grams = _with_grams(urls.select("text", "acc", "rej"), order)
-    scores = cuts.write(_gram_scores(cuts, grams, order), "scores")
-    # Where no URL is labelled, no gram has a score: both models are uniform, the difference is 0.
+    urls = cuts.write(urls.select("text", F.monotonically_increasing_id().alias("u"), acc.alias("acc"), rej.alias("rej")), "urls")
+    scores = _gram_scores(cuts, _with_grams(urls, order, "acc", "rej"), order)
+    # Where no URL is labelled, both models are uniform and every difference is 0.
     # A gram that most URLs hold ("://", "http") makes a skewed key here; its partition can be split, as this is a plain join.
-    scored = cuts.write(grams.join(scores, "gram", "left").groupBy("text", "acc", "rej").agg((F.sum(F.coalesce("llr", F.lit(0.0)).cast("decimal(20,9)")) / F.count(F.lit(1))).cast("double").alias("score")), "urls-scored")
+    each = _with_grams(urls, order, "u").join(scores, "gram")
+    means = each.groupBy("u").agg((F.sum(F.col("llr").cast("decimal(20,9)")) / F.count(F.lit(1))).cast("double").alias("score"))
+    scored = cuts.write(urls.join(means, "u").select("text", "acc", "rej", "score"), "urls-scored")
     edge = _calibrate(scored)
     by_model = F.when(F.col("score") >= edge, "allow").otherwise("block")
+    # Paths that differ in case alone may fall to different rules, but have one text and one score.
     return judged.join(scored.select("text", "score").distinct(), "text").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score", F.lit(edge).alias("threshold")
     )

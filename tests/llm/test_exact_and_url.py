@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -98,3 +99,19 @@ def test_url_filter_without_labelled_urls(spark):
         got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()
         assert sorted(r.page_id for r in got) == list(range(len(urls)))
         assert {(r.rule, r.verdict, r.score, r.threshold) for r in got} == {(None, "allow", 0.0, 0.0)}
+
+
+def test_url_filter_long_urls_other_columns_and_ties(spark):
+    """A very long URL costs in proportion to its length; columns of any name stay out of the way; equal URLs get equal answers."""
+    long = "http://long.org/" + "ab/" * 20_000
+    rows = [(1, long, "u", 1.0), (2, "http://a.com/x", "text", None), (3, "http://c.net/fr/q", "gram", 2.0), (4, "http://q.org/", None, 3.0), (4, "http://q.org/", None, 3.0), (None, "http://Q.org/", "", 0.0), (6, "http://c.net/FR/q", "", 0.0)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, text string, score double")
+    began = time.time()
+    got = url_filter.filter_urls(df).collect()
+    assert time.time() - began < 60 and len(got) == len(rows)
+    same = {(r.score, r.verdict) for r in got if r.host == "q.org"}
+    assert len(same) == 1
+    low, up = (next(r for r in got if r.page_id == i) for i in (3, 6))
+    assert (low.rule, up.rule, low.score) == ("net/fr/", None, up.score)
+    want = model_scores([long], [("http://a.com/x", "a"), ("http://c.net/fr/q", "b")], url_filter.ORDER)
+    assert abs(next(r.score for r in got if r.page_id == 1) - want[long]) < 1e-6
