@@ -34,13 +34,36 @@ def test_empty_tables(spark):
 
 
 def test_licences_against_sql(spark):
-    rows = [(1, "x\nReleased under the MIT License.\ny z", "", "", ""), (2, "licensed under   CC BY-NC 4.0", "", "", ""), (3, None, "", "", ""), (4, "Licensed under the Apache\nLicense, Version 2.0.", "", "", ""), (5, "word " * 30000, "", "", ""), (1, "Released under the MIT license", "", "", "")]
-    got = {(r.doc_id, r.licence, r.dice, r.n_units) for r in licenses.scan_licences(docs(spark, rows)).collect()}
-    frame = docs(spark, rows).toPandas()
+    by_name = {}
+    for name, text in licenses.TEMPLATES:
+        by_name.setdefault(name, []).append(text)
+    prose = "some words of the text that are in no way part of a license or under the terms of it "
+    bodies = {name: texts[-1] for name, texts in by_name.items()}
+    texts = [
+        "x\nReleased under the MIT License.\ny z", "licensed under   CC BY-NC 4.0", None, "Licensed under the Apache\nLicense, Version 2.0.", "word " * 30000, "",
+        prose + "This work is licensed under the GNU\nGeneral Public License, version 3. " + prose, "released under the MIT license. " * 30, "Released under the MIT License.\n" * 25,
+        prose * 3 + bodies["MIT"].replace(" ", "\n", 40) + prose, prose + bodies["BSD-2-Clause"].replace("BINARY", "OTHER").replace("DAMAGES", "HARM") + prose, bodies["BSD-3-Clause"].upper(),
+        bodies["GPL-2.0"], prose + bodies["GPL-3.0"] + prose + by_name["GPL-2.0"][0], bodies["Apache-2.0"] + bodies["ISC"], "This license was released under pressure. MIT is a school.", "license",
+        "Dedicated to the public domain under CC0 1.0, released under MIT License", " ".join(t for _, t in licenses.TEMPLATES),
+    ]
+    rows = [(i, t, "", "", "") for i, t in enumerate(texts)] + [(0, "Released under the MIT license", "", "", ""), (0, texts[0], "", "", ""), (None, texts[1], "", "", "")]
+    got = {(r.doc_id, r.licence, r.dice, r.first_word, r.n_words) for r in licenses.scan_licences(docs(spark, rows)).collect()}
+    frame = docs(spark, rows).toPandas().astype({"doc_id": "Int64"})
     con = duckdb.connect()
     con.register("documents", frame)
     want = {tuple(r) for r in con.execute(licenses.ORACLE).fetchall()}
-    assert got == want and {(1, "MIT", 1.0, 2), (4, "Apache-2.0", 1.0, 1)} <= got
+    assert got == want
+    found = {(i, name): d for i, name, d, _, _ in got}
+    assert found[0, "MIT"] == found[3, "Apache-2.0"] == found[6, "GPL-3.0"] == found[7, "MIT"] == found[8, "MIT"] == found[9, "MIT"] == found[11, "BSD-3-Clause"] == 1.0
+    assert found[12, "GPL-2.0"] == found[13, "GPL-3.0"] == found[13, "GPL-2.0"] == found[14, "ISC"] == 1.0 and (12, "GPL-3.0") not in found
+    assert 0.8 <= found[10, "BSD-2-Clause"] < 1 and not {2, 4, 5, 15, 16} & {i for i, _ in found} and (None, "CC-BY-NC-4.0") in found
+
+
+def test_licence_triggers_are_needed():
+    """Whatever bigrams a stretch at the threshold lacks, it holds a trigger."""
+    for i, (name, text) in enumerate(licenses.TEMPLATES):
+        t = licenses.Template(i, name, text, licenses.THRESHOLD)
+        assert t.size - t.covered() < t.shared
 
 
 def model_scores(urls, labels, order):
