@@ -1,14 +1,15 @@
 """SentencePiece BPE encoding and decoding in vectorised merge rounds.
 
 Distinct words of a batch become one flat numpy array of symbols. Each round finds the best pair rank
-of every word by a segmented minimum, merges its leftmost occurrence in all words at once, and drops
-words in which no pair remains. Ids of words are remembered within a task, up to a bound.
+of every word by a segmented minimum, merges its occurrences in all words at once (from the left, up to
+the first whose result pairs as well or better with a neighbour, so that the order of merges is that of one at a
+time), and drops words in which no pair remains. A word takes no more rounds than it meets different ranks, but for such
+stops. Ids of words are remembered within a task, up to a bound.
 """
 
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -22,8 +23,8 @@ from linkloom.shipping import ship
 
 SPACE = "▁"
 MEMO = 400_000
-#: Words of more symbols go through a heap, whose cost grows as n log n, not as rounds times length.
-LONG_WORD = 192
+#: Symbols that go through the rounds together, and the length from which a word is not remembered.
+ROUND_SYMBOLS, LONG_WORD = 400_000, 768
 _NONE = np.int32(2**31 - 1)
 #: A byte that starts no valid UTF-8 sequence becomes U+FFFD, alone.
 codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))
@@ -103,6 +104,32 @@ class PieceCodec:
                 ids += [self.byte_ids[b] for b in ch.encode()]
         return np.array(ids, "<i4").tobytes()
 
+    def _first_merges(self, sym: np.ndarray, seg: np.ndarray, made: np.ndarray, hits: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Those of the best pairs' places ``hits`` that merge in this round."""
+        # Of overlapping ones every second, counted from the left.
+        run = np.r_[True, (hits[1:] != hits[:-1] + 1) | (seg[hits[1:]] != seg[hits[:-1]])]
+        first = np.flatnonzero(run)
+        at = hits[(np.arange(len(hits)) - first[np.cumsum(run) - 1]) % 2 == 0]
+        new = np.r_[True, seg[at[1:]] != seg[at[:-1]]]
+        single = new & np.r_[new[1:], True]
+        if single.all():
+            return at
+        # Where the merged symbol pairs with a neighbour at this rank or a better one, what follows in the word has to wait.
+        many = at[~single]
+        rank_here, stop = best[many], np.zeros(len(many), bool)
+        after = np.r_[False, many[1:] == many[:-1] + 2]
+        left = np.where(after, np.r_[0, made[many[:-1]]], sym[many - 1])
+        right_at = np.minimum(many + 2, len(sym) - 1)
+        for a, b, inside in ((left, made[many], (many > 0) & (seg[many - 1] == seg[many])), (made[many], sym[right_at], (many + 2 < len(sym)) & (seg[right_at] == seg[many]))):
+            ok = inside & (a < self.base) & (b < self.base)
+            stop |= ok & (self._rank(np.where(ok, a, 0), np.where(ok, b, 0))[0] <= rank_here)
+        before = np.cumsum(stop) - stop
+        start = np.flatnonzero(np.r_[True, seg[many[1:]] != seg[many[:-1]]])
+        own = before[start][np.cumsum(np.r_[True, seg[many[1:]] != seg[many[:-1]]]) - 1]
+        take = np.ones(len(at), bool)
+        take[~single] = before == own
+        return at[take]
+
     def _merge_words(self, words: list[str]) -> None:
         """Fill the memo for these words, all rounds together."""
         sym = np.array([self._char(c) for w in words for c in w], np.int64)
@@ -129,7 +156,7 @@ class PieceCodec:
                 if not len(sym):
                     break
             hits = np.flatnonzero(rank == np.repeat(best, sizes))
-            at = hits[np.r_[True, seg[hits[1:]] != seg[hits[:-1]]]]  # the leftmost of each word
+            at = self._first_merges(sym, seg, made, hits, np.repeat(best, sizes))
             sym[at] = made[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
@@ -152,49 +179,26 @@ class PieceCodec:
             s, e = int(ends[i]), int(ends[i + 1])
             self.memo[w] = raw[4 * s : 4 * e] if i not in odd else self._out(syms[s:e].tolist())
 
-    def _merge_long(self, word: str) -> bytes:
-        """One long word through a heap of pairs; same order of merges (rank, then place)."""
-        sym = [self._char(c) for c in word]
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and sym[i] < self.base and sym[j] < self.base and (got := self.pairs.get(sym[i] * self.base + sym[j])):
-                heapq.heappush(heap, (got[0], i, sym[i], sym[j], got[1]))
-
-        for i in range(n):
-            push(i)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i] if sym[i] >= 0 else n
-            if j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], sym[j], after[i] = made, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            if before[i] >= 0:
-                push(before[i])
-            push(i)
-        return self._out([s for s in sym if s >= 0])
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers, end id included; an empty text is the end id alone."""
         if len(self.memo) > self.most:
             self.memo = {}
         words = [re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = set().union(*words) - self.memo.keys()
-        short = [w for w in new if len(w) <= LONG_WORD]
-        for i in range(0, len(short), 50_000):
-            self._merge_words(short[i : i + 50_000])
+        part: list[str] = []
+        held = 0
         for w in new:
-            if len(w) > LONG_WORD:
-                self.memo[w] = self._merge_long(w)
+            part.append(w)
+            held += len(w)
+            if held >= ROUND_SYMBOLS:
+                self._merge_words(part)
+                part, held = [], 0
+        if part:
+            self._merge_words(part)
         tail, get = np.array([self.end_id], "<i4").tobytes(), self.memo.__getitem__
         out = [b"".join(map(get, ws)) + tail for ws in words]
         for w in new:
-            if len(w) > 4 * LONG_WORD:  # long words are seldom seen again
+            if len(w) > LONG_WORD:  # long words are seldom seen again
                 del self.memo[w]
         return out
 

@@ -103,3 +103,18 @@ def test_fingerprints_do_not_depend_on_the_batch():
     for (t, c), (t2, c2) in zip(alone, media.fingerprints(data), strict=True):
         assert t.tolist() == t2.tolist() and c.tolist() == c2.tolist() and len(t)
     assert hashlib.sha256(media.to_wav(data[0])).digest() and zlib.crc32(data[0][-64:]) >= 0
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.integers(0, 10**9), st.integers(1, 3000), st.sampled_from(["ab", "the", "theinrgoa", "aaab", "0123456789", "é日本a", "etaoinshrdlucmfwypvbgkjqxz", "=-_/."]))
+def test_long_words_equal_the_library(seed, n, letters):
+    rng = np.random.default_rng(seed)
+    word = "".join(np.array(list(letters))[rng.integers(0, len(letters), n)])
+    if seed % 3 == 0:  # real words without spaces: many equal pairs at once
+        word = "".join(np.array(["the", "then", "there", "her", "here", "thing", "in", "ing", "inter", "national"])[rng.integers(0, 10, n // 4 + 1)])
+    assert np.frombuffer(CODEC.encode([word])[0], "<i4").tolist() == sp().encode(word, add_eos=True)
+
+
+def test_a_word_of_any_length(spark):
+    word = "".join(np.array(list("etaoinshrdlu"))[np.random.default_rng(3).integers(0, 12, 200_000)])
+    assert np.frombuffer(CODEC.encode([word])[0], "<i4").tolist() == sp().encode(word, add_eos=True)
