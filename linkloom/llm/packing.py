@@ -5,13 +5,14 @@ Each document is routed to a context-size tier: whole windows of the longest tie
 documents, and what remains goes to the shortest tier that holds it. Each tier is packed best-fit
 decreasing; gaps of longer windows are filled with pieces of shorter tiers, cut where they must be;
 every window that is emitted is exactly a tier's size. What is left of a task at its end is cut into
-powers of two, so no sequence needs padding. Sequences of a tier are dealt to step groups of equal
-token counts.
+powers of two, so no sequence needs padding. Sequences of all tiers are dealt to step groups, the largest first to
+the lightest group, so the groups of a task hold nearly equal token counts.
 """
 
 from __future__ import annotations
 
 import gc
+import heapq
 import re
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -28,7 +29,7 @@ from linkloom.shipping import ship
 TIERS = (2048, 1024, 512, 256)
 #: Tokens that a task gathers before it packs them: the bound of its memory.
 GROUP_TOKENS = 4_000_000
-#: Tokens in a step group.
+#: Tokens in a step group: each task makes as many groups as it can fill to this, and spreads the rest over them.
 STEP_TOKENS = 65_536
 #: Distinct words whose ids a task remembers.
 MEMO = 400_000
@@ -251,6 +252,27 @@ def pack_group(lengths: list[int], tiers: tuple[int, ...], last: bool) -> tuple[
     return windows, []
 
 
+class StepGroups:
+    """Deals windows to step groups, the largest first to the lightest group; groups stay open over the calls of a task."""
+
+    def __init__(self, tokens: int):
+        self.tokens, self.count, self.open = tokens, 0, []
+
+    def deal(self, sizes: list[int]) -> list[int]:
+        """The group of each window. A call opens as many groups as it can fill; a task's first call opens one at least."""
+        more = max(sum(sizes) // self.tokens, 1 if sizes and not self.count else 0)
+        if more:
+            self.open = sorted(self.open)[:64] + [(0, self.count + i) for i in range(more)]  # the fullest groups close
+            self.count += more
+            heapq.heapify(self.open)
+        out = [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+            load, group = self.open[0]
+            heapq.heapreplace(self.open, (load + sizes[i], group))
+            out[i] = group
+        return out
+
+
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint"
 
 
@@ -278,7 +300,7 @@ def pack_documents(
         encode, context = make_encoder(), TaskContext.get()
         first = (context.partitionId() if context else 0) << 36
         tail = np.array([end_id], "<u4").tobytes()
-        state: dict[str, Any] = {"next": 0, "steps": dict.fromkeys(tiers, 0)}
+        state: dict[str, Any] = {"next": 0, "steps": StepGroups(step_tokens)}
         ids: list[Any] = []
         bodies: list[bytes] = []
         begun: list[int] = []  # where a document that is carried on starts in its own ids
@@ -289,14 +311,12 @@ def pack_documents(
             nonlocal ids, bodies, begun, totals, held
             windows, left = pack_group([len(b) // 4 for b in bodies], tiers, last)
             rows: list[tuple] = []
-            for size, pieces in windows:
+            for (size, pieces), step in zip(windows, state["steps"].deal([w[0] for w in windows]), strict=True):
                 seq = first + state["next"]
                 state["next"] += 1
-                step = state["steps"].get(size, 0)
-                state["steps"][size] = step + size
                 offset = 0
                 for d, s, n in pieces:
-                    rows.append((d, s, n, seq, offset, size, first + (step // step_tokens)))
+                    rows.append((d, s, n, seq, offset, size, first + step))
                     offset += n
             for i in range(0, len(rows), 20_000):
                 part = rows[i : i + 20_000]

@@ -51,6 +51,20 @@ def test_groups_are_packed_whole(lengths):
     assert all(sum(n for *_, n in ps) == size for size, ps in windows)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([2048, 1024, 512, 256, 64, 1]), min_size=1, max_size=400), min_size=1, max_size=5))
+def test_step_groups_are_balanced(calls):
+    """Where all calls but a task's last bring a step's tokens, groups hold that much, but for part of a window, and less than twice as much."""
+    groups, load = packing.StepGroups(4096), {}
+    calls = [c for c in calls[:-1] if sum(c) >= 4096] + calls[-1:]
+    for sizes in calls:
+        for size, g in zip(sizes, groups.deal(sizes), strict=True):
+            load[g] = load.get(g, 0) + size
+    assert sum(load.values()) == sum(map(sum, calls))
+    if len(load) > 1:
+        assert min(load.values()) > 4096 - 2048 and max(load.values()) < 2 * 4096 + 2048
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("abT'se .,!\n\t\u00a0\x1c1é\u0301Σ<|>_-", max_size=60))
 def test_words_encode_like_texts(text):
