@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder the cluster shares (spark.checkpoint.dir); a temporary one where that is unset and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="linkloom-"))
     return f"file://{_OWN_DIR[0]}"
@@ -60,6 +62,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(F.coalesce(col.cast("string"), F.lit("")), UPPER, LOWER)
 
 
+def text_key(text: Column) -> Column:
+    """128-bit digest of a text, by which its row is known beside the id; null and empty are one text."""
+    return F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 6_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Sub-batches holding about ``most`` text bytes (a longer text stands alone), with their texts as UTF-8; null is empty."""
     for batch in batches:

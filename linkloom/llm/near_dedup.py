@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Cuts, RollingHash, mix64, shingle_hashes, slices, table, word_hashes
+from linkloom.llm.common import Cuts, RollingHash, mix64, shingle_hashes, slices, table, text_key, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 #: Rows in a band and bands: a pair at 0.75 shares no bucket with probability (1 - 0.75**5)**48, about 2 in a million.
@@ -115,9 +115,11 @@ def components(cuts: Cuts, edges: DataFrame, name: str) -> DataFrame:
         hops = moved.select(F.col("node").alias("label"), F.col("label").alias("hop"))
         after = moved.join(hops, "label", "left").select("node", F.least("label", F.coalesce("hop", "label")).alias("label"), "was")
         after = cuts.write(after, f"{name}-{step}")
+        cuts.drop(f"{name}-{step - 1}")
         changed = after.where("label <> was").limit(1).count()
         labels = after.select("node", "label")
         if not changed:
+            cuts.drop(f"{name}-both")
             return labels
 
 
@@ -175,19 +177,20 @@ def _families(cuts: Cuts, large: DataFrame, sets: DataFrame, percent: int) -> Da
 
 
 def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+    """One row per input row: ``doc_id, n_shingles, component_id, kept, row_key, first``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set holds its distinct k-word
     shingles, or its whole sequence where it has fewer words. Documents are linked where the shared part
     is ``percent`` of the union or more; a component's smallest id stays. Null texts and texts without
     words have no set and stand alone. Rows that repeat an id are judged each by its own text, and all rows with a component's
-    smallest id are kept; a null id is never the smallest, unless it is the only one. Ties and copies need no order: the result
+    smallest id are kept; a null id is never the smallest, unless it is the only one. ``first`` marks the one row (with its copies
+    under its id) of each component that stays where one is asked for; ``row_key`` is the text's MD5. Ties and copies need no order: the result
     depends on ids and texts alone. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     cuts = Cuts(spark, "near-dedup")
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("row_key"), text.alias("text"))
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(text).alias("row_key"), text.alias("text"))
     rows = cuts.write(_sketches(base, k), "sketches")
     # A node is a set, numbered in the order of the smallest id that has it (and the smallest text under that id).
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("f")
@@ -230,11 +233,16 @@ def near_dedup(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col
         found = cuts.write(found.union(_families(cuts, large, sets, percent)), "all-links")
     if found.limit(1).count():
         labels = components(cuts, links.union(found), "all")
-    ids = nodes.select(F.col("node").alias("label"), F.col("doc_id").alias("component_id"))
-    named_sets = nodes.select("node", "set_key").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label")).join(ids, "label").select("set_key", "component_id", F.lit(True).alias("named"))
-    smallest = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.join(named_sets, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), smallest.alias("component_id"), F.col("doc_id").eqNullSafe(smallest).alias("kept"))
+    cuts.drop("stars", "members", "tried", "sets", "links", "mixed", "more", "more-links", "large", "all-links", "family-nodes")
+    ids = nodes.select(F.col("node").alias("label"), F.col("doc_id").alias("component_id"), F.col("row_key").alias("first_key"))
+    named_sets = nodes.select("node", "set_key").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label")).join(ids, "label").select("set_key", "component_id", "first_key")
+    named = F.col("first_key").isNotNull()
+    smallest = F.when(named, F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = F.col("doc_id").eqNullSafe(smallest)
+    return rows.join(named_sets, "set_key", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), smallest.alias("component_id"), kept.alias("kept"), "row_key", (kept & (~named | (F.col("row_key") == F.col("first_key")))).alias("first")
+    )
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

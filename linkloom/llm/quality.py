@@ -138,82 +138,123 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-4
     w = np.zeros(x.shape[1] + 1, np.float64)
     speed = np.full(len(w), 1e-8)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(x.dtype) + w[-1], -30, 30)))
         g = balance * (p - y) / len(y)
-        grad = np.r_[x.T @ g + l2 * w[:-1], g.sum()]
+        grad = np.r_[g.astype(x.dtype) @ x + l2 * w[:-1], g.sum()]
         speed += grad * grad
         w -= 0.5 * grad / np.sqrt(speed)
     return w
 
 
+class Judge:
+    """What the corpus taught: posteriors of vote patterns, share of good documents, weights of the scorer (None: no two classes)."""
+
+    def __init__(self, weak: dict[int, float], good: float, weights: np.ndarray | None):
+        self.weak, self.good, self.weights = weak, good, weights
+
+    def labels(self, voted: np.ndarray) -> np.ndarray:
+        return np.array([self.weak.get(c, self.good) for c in codes(voted).tolist()])
+
+    def scores(self, texts: list[bytes], label: np.ndarray | None = None) -> np.ndarray:
+        """Probability of good quality; ``label`` holds the posteriors, where they are known already."""
+        short = np.array([len(t.split(None, SHORT)) < SHORT for t in texts], bool)
+        leans = short if self.weights is not None else np.ones(len(texts), bool)
+        if label is None:  # few texts lean on their votes
+            label = np.zeros(len(texts))
+            at = np.flatnonzero(leans)
+            if len(at):
+                label[at] = self.labels(votes([texts[i] for i in at]))
+        if self.weights is None:
+            p = label.copy()
+        else:
+            p = np.empty(len(texts))
+            for i, text in enumerate(texts):
+                at, weight = features(text)
+                p[i] = 1 / (1 + np.exp(-np.clip((self.weights[:-1][at] * weight).sum() + self.weights[-1], -30, 30)))
+        p[short] = (p[short] + label[short]) / 2
+        p[[not t.strip() for t in texts]] = 0.0
+        return p
+
+
+def codes(voted: np.ndarray) -> np.ndarray:
+    """One number for each row of votes."""
+    return (voted.astype(np.int64) * 3 ** np.arange(voted.shape[1])).sum(axis=1)
+
+
+def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Judge:
+    """Fit labellers on the votes of all documents and the scorer on the ``train_rows`` documents with the smallest hashes of
+    text and id; one scan gives both."""
+    cuts = Cuts(docs.sparkSession, "quality")
+    n = docs.count()
+    # Rows whose hash may be among the smallest: twice the share asked for, so that fewer have a chance of e**-500.
+    share = min(1.0, 2 * train_rows / n) if n else 1.0
+    edge = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
+    body_type = pa.schema([("code", pa.int32()), ("pick", pa.int64()), ("x", pa.binary())])
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text", SLICE):
+            picked = batch.column(1).to_numpy() <= edge
+            body: list[bytes | None] = [None] * len(texts)
+            for i in np.flatnonzero(picked):
+                dense = np.zeros(2 * BINS + LEVELS, np.float16)
+                at, weight = features(texts[i])
+                dense[at] = weight
+                body[i] = dense.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(codes(votes(texts)), pa.int32()), batch.column(1), pa.array(body, pa.binary())], schema=body_type)
+
+    text = F.col(text_col).cast("string")
+    voted = docs.select(text.alias("text"), F.xxhash64(text, F.col(id_col).cast("bigint")).alias("pick")).mapInArrow(vote, "code int, pick bigint, x binary")
+    voted = cuts.write(voted, "votes")
+    seen = voted.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code").collect()  # at most 3**8 rows
+    found = np.array([r[0] for r in seen], np.int64)
+    patterns = found[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
+    good, accuracy = fit_labellers(patterns, np.array([r[1] for r in seen], np.float64))
+    weak = dict(zip(found.tolist(), posterior(patterns, good, accuracy).tolist(), strict=True)) if len(found) else {}
+    rows = voted.where("x is not null").orderBy("pick", "code").limit(train_rows).select("code", "x").toArrow()
+    weights = None
+    if rows.num_rows:
+        y = np.array([weak[c] for c in rows.column(0).to_pylist()])
+        if y.min() < 0.5 < y.max():
+            x = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float16).reshape(len(y), -1).astype(np.float64 if len(y) <= 500 else np.float32)
+            weights = fit_scorer(x, y)
+    cuts.drop("votes")
+    return Judge(weak, good, weights)
+
+
 def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, votes, weak_label, score, keep``.
 
     ``weak_label`` is the posterior of the votes, ``score`` the scorer's probability of good quality;
     documents with a score below ``threshold`` are rejected. Null and empty texts are rejected by
     all labellers, with score 0. Whole texts are read. Vote counts cover all documents; the scorer
-    trains on the ``train_rows`` documents with the smallest hashes of text and id (repeated rows are repeated there).
+    trains on the ``train_rows`` documents with the smallest hashes of text and id (repeated rows are repeated there; null ids have
+    a hash as well). Ties at the threshold are kept.
     An empty table gives an empty result. Where all posteriors fall on one side, the posterior itself is the score.
     Other columns are not read.
     """
-    spark = docs.sparkSession
-    cuts = Cuts(spark, "quality")
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n_lab = len(LABELLERS)
+    judge = learn(docs, train_rows, id_col, text_col)
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text", SLICE):
             v = votes(texts)
-            yield pa.RecordBatch.from_arrays([pa.array((v * 3 ** np.arange(n_lab)).sum(axis=1), pa.int32()), batch.column(1)], names=["code", "pick"])
+            label = judge.labels(v)
+            p = np.round(judge.scores(texts, label), 6)
+            shown = ["".join("-?+"[k] for k in row) for row in v.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown), pa.array(label), pa.array(p), pa.array(p >= threshold)], names=["doc_id", "votes", "weak_label", "score", "keep"])
 
-    coded = base.select("text", F.xxhash64("text", "doc_id").alias("pick")).mapInArrow(vote, "code int, pick bigint")
-    coded = cuts.write(coded, "votes")
-    seen = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code").collect()  # at most 3**8 rows
-    codes = np.array([r[0] for r in seen], np.int64)
-    patterns = codes[:, None] // 3 ** np.arange(n_lab) % 3
-    good, accuracy = fit_labellers(patterns, np.array([r[1] for r in seen], np.float64))
-    weak = dict(zip(codes.tolist(), posterior(patterns, good, accuracy).tolist(), strict=True)) if len(codes) else {}
-    edge = coded.select("pick").orderBy("pick").limit(train_rows).agg(F.max("pick")).first()[0]
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return base.mapInArrow(score, "doc_id bigint, votes string, weak_label double, score double, keep boolean")
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", SLICE):
-            v = (votes(texts) * 3 ** np.arange(n_lab)).sum(axis=1)
-            body = []
-            for text in texts:
-                at, weight = features(text)
-                dense = np.zeros(2 * BINS + LEVELS, np.float16)
-                dense[at] = weight
-                body.append(dense.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([weak.get(c, good) for c in v.tolist()], pa.float64()), pa.array(body, pa.binary())], names=["y", "x"])
 
-    weights = None
-    if edge is not None:
-        chosen = base.where(F.xxhash64("text", "doc_id") <= F.lit(edge)).select("text").mapInArrow(sample, "y double, x binary")
-        rows = chosen.limit(2 * train_rows).toPandas()  # ties of the last hash only
-        y = rows["y"].to_numpy()
-        if len(y) and y.min() < 0.5 < y.max():
-            x = np.stack([np.frombuffer(b, np.float16) for b in rows["x"]]).astype(np.float32)
-            order = np.lexsort((y, rows["x"].rank(method="dense").to_numpy()))  # sums do not depend on the order rows came in
-            weights = fit_scorer(x[order].astype(np.float64) if len(x) <= 500 else x[order], y[order])
+def accepted(docs: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``classify`` keeps, each judged by its own text, with all columns; no join and no shuffle."""
+    judge = learn(docs, train_rows, id_col, text_col)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", SLICE):
-            v = votes(texts)
-            label = np.array([weak.get(c, good) for c in (v * 3 ** np.arange(n_lab)).sum(axis=1).tolist()])
-            if weights is None:
-                p = label.copy()
-            else:
-                p = np.empty(len(texts))
-                for i, text in enumerate(texts):
-                    at, weight = features(text)
-                    p[i] = 1 / (1 + np.exp(-np.clip((weights[:-1][at] * weight).sum() + weights[-1], -30, 30)))
-            short = np.array([len(t.split(None, SHORT)) < SHORT for t in texts])
-            p[short] = (p[short] + label[short]) / 2
-            p[[not t.strip() for t in texts]] = 0.0
-            shown = ["".join("-?+"[k] for k in row) for row in v.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown), pa.array(label), pa.array(np.round(p, 6)), pa.array(p >= threshold)], names=["doc_id", "votes", "weak_label", "score", "keep"])
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, text_col, SLICE):
+            yield batch.filter(pa.array(np.round(judge.scores(texts), 6) >= threshold))
 
-    return base.mapInArrow(score, "doc_id bigint, votes string, weak_label double, score double, keep boolean")
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     each = _with_grams(urls, order, "u").join(scores, "gram")
     means = each.groupBy("u").agg((F.sum(F.col("llr").cast("decimal(20,9)")) / F.count(F.lit(1))).cast("double").alias("score"))
     scored = cuts.write(urls.join(means, "u").select("text", "acc", "rej", "score"), "urls-scored")
+    cuts.drop("urls", "grams", *[f"level-{k}" for k in range(order + 1)])
     edge = _calibrate(scored)
     by_model = F.when(F.col("score") >= edge, "allow").otherwise("block")
     # Paths that differ in case alone may fall to different rules, but have one text and one score.
