@@ -2,39 +2,47 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet
 in the shared folder and reads it again as the next stage's documents. All stages but the last return
-the columns of ``documents``. Rows with a null id cannot be told apart and are dropped by the first
-stage; rows that repeat an id count as one document with the texts they hold.
+the columns of ``documents``. Rows are known by id and text, null ids included: rows that repeat an id with
+different texts are judged each by its own text, and rows that repeat both are copies of each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Cuts, table
+from linkloom.llm.common import Cuts, ascii_lower, table, text_key
 from linkloom.llm.exact_dedup import content_sort
 from linkloom.llm.near_dedup import near_dedup
 from linkloom.llm.packing import pack_word_bpe
 from linkloom.llm.passages import cut_passages
-from linkloom.llm.quality import classify
+from linkloom.llm.quality import accepted
+
+
+def _one_of_each(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and ``key`` (of the text) are rows (id, key) of ``kept``, one for each."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), key.alias("_key"))
+    ids = kept.toDF("_kept_id", "_kept_key").distinct()
+    met = held.join(ids, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
+    alike = Window.partitionBy("_id", "_key").orderBy(F.col("_row").getField("text"))
+    return met.withColumn("_n", F.row_number().over(alike)).where("_n = 1").select("_row.*")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    kept = classify(docs).where("keep").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return accepted(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (A-Z lower-cased): the smallest id."""
-    kept = content_sort(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = content_sort(docs).where("kept").select("doc_id", "text_sha256")
+    return _one_of_each(docs, kept, F.sha2(ascii_lower(F.col("text")), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the smallest id."""
-    kept = near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = near_dedup(docs).where("first").select("doc_id", "row_key")
+    return _one_of_each(docs, kept, text_key(F.col("text")))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
