@@ -37,8 +37,11 @@ def drop_tokens(arr: Column, words: Iterable[str]) -> Column:
 
 
 def dedupe_consecutive(arr: Column) -> Column:
-    """Drop a token that equals the one before it."""
-    return F.filter(arr, lambda t, i: (i == 0) | (t != F.get(arr, i - 1)))
+    """Drop a token that equals the one before it. The tokens are paired with their predecessors first: an array expression
+    inside the lambda would be computed again for each of them."""
+    none = F.array(F.lit(None).cast("string"))
+    pairs = F.zip_with(arr, F.concat(none, arr), lambda t, before: F.struct(t.alias("t"), before.alias("b")))
+    return F.transform(F.filter(pairs, lambda x: x["t"].isNotNull() & ~x["t"].eqNullSafe(x["b"])), lambda x: x["t"])
 
 
 def collapse_initials(arr: Column) -> Column:

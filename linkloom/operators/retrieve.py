@@ -26,12 +26,12 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def weights(terms: DataFrame, dfs: DataFrame, sizes: DataFrame, max_df: int | None = None, by: Sequence[str] = ("block", "term")) -> DataFrame:
-    """(block, key, term, w): log1p(tf) * idf, unit length over the terms that stay under ``max_df``."""
+    """(block, key, term, w, df): log1p(tf) * idf, unit length over the terms that stay under ``max_df``."""
     kept = dfs if max_df is None else dfs.where(F.col("df") <= max_df)
     raw = terms.join(kept, list(by)).join(F.broadcast(sizes), [c for c in by if c != "term"] or ["block"]) if "n" not in terms.columns else terms.join(kept, list(by))
     raw = raw.withColumn("x", F.log1p(F.col("tf").cast("double")) * idf(F.col("n"), F.col("df")))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("block", "key")))
-    return raw.select("block", "key", "term", (F.col("x") / norm).alias("w"))
+    return raw.select("block", "key", "term", (F.col("x") / norm).alias("w"), "df")
 
 
 def topk_join(queries: DataFrame, targets: DataFrame, k: int, min_sim: float | None = None, exclude_self: bool = False) -> DataFrame:
@@ -52,6 +52,29 @@ def topk_join(queries: DataFrame, targets: DataFrame, k: int, min_sim: float | N
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
+def scaled_max_df(n: int, least: int = 500, most: int = 20_000, full: int = 2_200_000) -> int:
+    """The bound on a term's documents for a corpus of ``n``: it grows with the corpus up to ``most``, and is never under ``least``."""
+    return int(max(least, most * min(1.0, n / full)))
+
+
+def threshold_topk(w: DataFrame, k: int, min_sim: float) -> DataFrame:
+    """(block, q, s, score, rank): the k nearest of each key among all others of its block, at a cosine of ``min_sim`` or more. Exact.
+
+    Terms stand in one order, rare ones first. A key's prefix ends where what follows has a norm below ``min_sim``; two keys at
+    the threshold share a term of both prefixes (else one side's rest would hold all they share, and that is too short). So only
+    prefixes meet, frequent terms seldom among them, and whole vectors are compared for the pairs found. Each pair is found once.
+    """
+    rest = Window.partitionBy("block", "key").orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    # A hair under the threshold: sums of squares are rounded.
+    prefix = w.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rest)).where(F.col("rest") >= min_sim * min_sim - 1e-9).where("df > 1").select("block", "term", "key")
+    a, b = prefix.select("block", "term", F.col("key").alias("q")), prefix.select("block", "term", F.col("key").alias("s"))
+    pairs = a.join(b, ["block", "term"]).where("q < s").select("block", "q", "s").distinct()
+    half = pair_cosine(pairs, w, w).where(F.col("cos") >= min_sim).join(pairs, ["q", "s"]).select("block", "q", "s", F.col("cos").alias("score"))
+    scored = half.unionByName(half.select("block", F.col("s").alias("q"), F.col("q").alias("s"), "score"))
+    order = Window.partitionBy("block", "q").orderBy(F.round("score", 9).desc(), "s")
+    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+
+
 def tfidf_topk(records: DataFrame, entities: DataFrame, rec_key: str, ent_key: str, block: str, rec_grams: Column, ent_grams: Column, k: int = 15, max_df: int | None = None, min_sim: float | None = None) -> DataFrame:
     """Top-k TF-IDF cosine of records against entities of their block; idf over both sides of the block."""
     r, e = term_counts(records, rec_key, block, rec_grams), term_counts(entities, ent_key, block, ent_grams)

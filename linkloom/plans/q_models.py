@@ -26,10 +26,14 @@ def gbt_matcher_oof(spark, sf):  # noqa: ANN001, ANN201
 
 
 def pruner_cascade(spark, sf):  # noqa: ANN001, ANN201
-    rows = _table(spark, sf)
-    pruner = models.Matcher(("n_chars", "upper"), kind="logistic", rounds=20).fit(rows.where("fold <> 0"))
-    kept = models.prune(rows, pruner, 0.3)
-    return models.Matcher(COLUMNS, rounds=5, depth=3).fit(kept.where("fold <> 0")).score(kept.where("fold = 0")).select("rid", "label", "q", "p")
+    """Every fold is pruned and scored by models of the others."""
+    rows, out = _table(spark, sf), None
+    for fold in range(3):
+        others = rows.where(F.col("fold") != fold)
+        pruner = models.Matcher(("n_chars", "upper"), kind="logistic", rounds=20).fit(others)
+        part = models.Matcher(COLUMNS, rounds=5, depth=3).fit(models.prune(others, pruner, 0.3)).score(models.prune(rows.where(F.col("fold") == fold), pruner, 0.3)).select("rid", "label", "q", "p")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def stacker(spark, sf):  # noqa: ANN001, ANN201
@@ -42,7 +46,7 @@ def country_transfer(spark, sf):  # noqa: ANN001, ANN201
 
 
 def bi_encoder_views(spark, sf):  # noqa: ANN001, ANN201
-    d = t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("a"), F.substring("text", 81, 80).alias("b"))
+    d = t(spark, sf, "documents").select("doc_id", F.col("text").alias("a"), F.concat_ws(" ", "lang", "text").alias("b"))
     return encoder.encode_views(d, "doc_id", {"z": "a", "za": "b"}, encoder.Encoder(32))
 
 

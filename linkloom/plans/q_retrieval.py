@@ -19,7 +19,9 @@ def _out(found: DataFrame) -> DataFrame:
 
 
 def tfidf_topk_block(spark, sf, max_df=None, min_sim=None):  # noqa: ANN001, ANN201
+    """Top 3 suppliers of each customer's nation; terms over the size-scaled bound are dropped unless one is given."""
     c, s = t(spark, sf, "customer").withColumn("b", F.col("c_nationkey")), t(spark, sf, "supplier").withColumn("b", F.col("s_nationkey"))
+    max_df = max_df or retrieve.scaled_max_df(c.count() + s.count())
     return _out(retrieve.tfidf_topk(c, s, "c_custkey", "s_suppkey", "b", char_wb_grams(F.lower("c_name")), char_wb_grams(F.lower("s_name")), 3, max_df, min_sim))
 
 
@@ -30,10 +32,10 @@ def tfidf_topk_maxdf(spark, sf):  # noqa: ANN001, ANN201
 def tfidf_two_part_score(spark, sf):  # noqa: ANN001, ANN201
     p = t(spark, sf, "part")
     sizes = p.groupBy(F.col("p_brand").alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    parts = []
+    parts, max_df = [], retrieve.scaled_max_df(p.count())
     for col in ("p_name", "p_type"):
         terms = retrieve.term_counts(p, "p_partkey", "p_brand", word_grams(F.lower(col)))
-        parts.append((retrieve.weights(terms, retrieve.doc_freq(terms), sizes), 0.5))
+        parts.append((retrieve.weights(terms, retrieve.doc_freq(terms), sizes, max_df), 0.5))
     both = retrieve.combine_parts(parts)
     names = retrieve.combine_parts(parts[:1])
     top = retrieve.topk_join(both, both, 3, exclude_self=True)
@@ -120,19 +122,27 @@ def recall_at_k_mrr(spark, sf):  # noqa: ANN001, ANN201
 
 
 def emb_dot(spark, sf):  # noqa: ANN001, ANN201
+    """Dot products of the query set (ids divisible by 100) with all vectors of their label."""
     v = _vectors(spark, sf)
-    a, b = v.alias("a"), v.alias("b")
-    near = (F.col("a.label") == F.col("b.label")) & (F.col("b.vec_id") > F.col("a.vec_id")) & (F.col("b.vec_id") <= F.col("a.vec_id") + 40)
+    a, b = v.where("vec_id % 100 = 0").alias("a"), v.alias("b")
+    near = (F.col("a.label") == F.col("b.label")) & (F.col("b.vec_id") != F.col("a.vec_id"))
     return a.join(b, near).select(F.col("a.vec_id").alias("q"), F.col("b.vec_id").alias("s"), F.round(dot(F.col("a.embedding"), F.col("b.embedding")), 6).alias("dot"))
 
 
 def doc_neardup_topk(spark, sf):  # noqa: ANN001, ANN201
-    """Documents with their three nearest of the same language by TF-IDF of words and word pairs; terms of more than 30 documents are dropped."""
-    d = t(spark, sf, "documents")
-    terms = retrieve.term_counts(d, "doc_id", "lang", word_grams(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")))
-    sizes = d.groupBy(F.col("lang").alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    w = retrieve.weights(terms, retrieve.doc_freq(terms), sizes, max_df=30)
-    return _out(retrieve.topk_join(w, w, 3, min_sim=0.3, exclude_self=True))
+    """Each text's three nearest of the same language, at a cosine of 0.75 or more of TF-IDF over words and word pairs.
+
+    Equal texts (as words) are one, known by their smallest id: weights and neighbours are among distinct texts, and every copy
+    comes with that id at rank 0. No term is dropped; the join goes through prefixes (see ``retrieve.threshold_topk``).
+    """
+    words = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    d = t(spark, sf, "documents").select("doc_id", "lang", words.alias("words")).where("words <> ''")
+    first = d.groupBy("lang", F.md5("words").alias("text_key")).agg(F.min("doc_id").alias("first"), F.any_value("words").alias("words"))
+    terms = retrieve.term_counts(first, "first", "lang", word_grams(F.col("words")))
+    sizes = first.groupBy(F.col("lang").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    near = _out(retrieve.threshold_topk(retrieve.weights(terms, retrieve.doc_freq(terms), sizes), 3, 0.75))
+    copies = d.select("doc_id", "lang", F.md5("words").alias("text_key")).join(first.select("lang", "text_key", "first"), ["lang", "text_key"]).where("doc_id <> first")
+    return near.unionByName(copies.select(F.col("lang").alias("block"), F.col("doc_id").alias("q"), F.col("first").alias("s"), F.lit(1.0).alias("score"), F.lit(0).cast("bigint").alias("rank")))
 
 
 QUERIES = {
@@ -155,6 +165,7 @@ _TOP = """
 sc AS (SELECT q.block, q.key AS q, s.key AS s, sum(q.w * s.w) AS score FROM wt q JOIN wt s USING (block, term) WHERE q.side = 'r' AND s.side = 'e' GROUP BY ALL {having})
 SELECT block, q, s, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY block, q ORDER BY round(score, 9) DESC, s) AS rank FROM sc) WHERE rank <= 3
 """
+_SCALED = "HAVING count(*) <= greatest(500, floor(20000 * least(1.0, (SELECT count(*) FROM src) / 2200000.0)))"
 _SRC_CS = "src AS (SELECT 'r' AS side, c_nationkey AS block, c_custkey AS key, lower(c_name) AS txt FROM customer UNION ALL SELECT 'e', s_nationkey, s_suppkey, lower(s_name) FROM supplier),"
 _PART_PAIRS = "pp AS (SELECT a.p_partkey AS q, b.p_partkey AS s, a.p_name AS n1, b.p_name AS n2, a.p_size AS z1, b.p_size AS z2, a.p_type AS t1, b.p_brand AS b2 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) <= 2)"
 _ALL = """
@@ -165,14 +176,14 @@ truth AS (SELECT q, s FROM (SELECT q, s, row_number() OVER (PARTITION BY q ORDER
 _WORDPAIRS = "unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term"
 
 ORACLES = {
-    "tfidf_topk_block": "WITH " + _SRC_CS + _GRAMS + _WEIGHTS.format(having="") + "," + _TOP.format(having=""),
+    "tfidf_topk_block": "WITH " + _SRC_CS + _GRAMS + _WEIGHTS.format(having=_SCALED) + "," + _TOP.format(having=""),
     "tfidf_topk_maxdf": "WITH " + _SRC_CS + _GRAMS + _WEIGHTS.format(having="HAVING count(*) <= 50") + "," + _TOP.format(having="HAVING sum(q.w * s.w) >= 0.05"),
     "tfidf_two_part_score": f"""
 WITH src2 AS (SELECT 'n' AS part, p_brand AS block, p_partkey AS key, list_filter(string_split(lower(p_name), ' '), lambda w: w <> '') AS ws FROM part
  UNION ALL SELECT 't', p_brand, p_partkey, list_filter(string_split(lower(p_type), ' '), lambda w: w <> '') FROM part),
 gram AS (SELECT part, block, key, {_WORDPAIRS} FROM src2),
 tf AS (SELECT part, block, key, term, count(*) AS tf FROM gram GROUP BY ALL),
-dfs AS (SELECT part, block, term, count(*) AS df FROM tf GROUP BY ALL),
+dfs AS (SELECT part, block, term, count(*) AS df FROM tf GROUP BY ALL HAVING count(*) <= greatest(500, floor(20000 * least(1.0, (SELECT count(*) FROM part) / 2200000.0)))),
 n AS (SELECT p_brand AS block, count(*) AS n FROM part GROUP BY ALL),
 x AS (SELECT part, block, key, term, ln(1 + tf::DOUBLE) * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS x FROM tf JOIN dfs USING (part, block, term) JOIN n USING (block)),
 wt AS (SELECT part, block, key, term, x / sqrt(sum(x * x) OVER (PARTITION BY part, block, key)) * sqrt(0.5::DOUBLE) AS w FROM x),
@@ -210,11 +221,14 @@ SELECT round(sum(nh) / sum(nt)::DOUBLE, 6) AS pair_recall, round(avg(CASE WHEN n
 WITH {_ALL}, r AS (SELECT t.q, t.s, coalesce(nb.rank, 11) AS rank FROM truth t LEFT JOIN nb ON nb.q = t.q AND nb.s = t.s)
 SELECT round(avg((rank <= 1)::INT), 6) AS r_at_1, round(avg((rank <= 3)::INT), 6) AS r_at_3, round(avg((rank <= 5)::INT), 6) AS r_at_5, round(avg((rank <= 10)::INT), 6) AS r_at_10, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr FROM r
 """,
-    "emb_dot": "SELECT a.vec_id AS q, b.vec_id AS s, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 40",
+    "emb_dot": "SELECT a.vec_id AS q, b.vec_id AS s, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0",
     "doc_neardup_topk": f"""
-WITH src AS (SELECT 'r' AS side, lang AS block, doc_id AS key, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws FROM documents),
-gram AS (SELECT side, block, key, {_WORDPAIRS} FROM src), {_WEIGHTS.format(having="HAVING count(*) <= 30")},
-sc AS (SELECT q.block, q.key AS q, s.key AS s, sum(q.w * s.w) AS score FROM wt q JOIN wt s USING (block, term) WHERE q.key <> s.key GROUP BY ALL HAVING sum(q.w * s.w) >= 0.3)
+WITH txt AS (SELECT doc_id, lang, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents),
+firsts AS (SELECT lang, words, min(doc_id) AS first FROM txt WHERE words <> '' GROUP BY ALL),
+src AS (SELECT 'r' AS side, lang AS block, first AS key, string_split(words, ' ') AS ws FROM firsts),
+gram AS (SELECT side, block, key, {_WORDPAIRS} FROM src), {_WEIGHTS.format(having="")},
+sc AS (SELECT q.block, q.key AS q, s.key AS s, sum(q.w * s.w) AS score FROM wt q JOIN wt s USING (block, term) WHERE q.key <> s.key GROUP BY ALL HAVING sum(q.w * s.w) >= 0.75)
 SELECT block, q, s, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY block, q ORDER BY round(score, 9) DESC, s) AS rank FROM sc) WHERE rank <= 3
+UNION ALL SELECT lang, doc_id, first, 1.0::DOUBLE, 0 FROM txt JOIN firsts USING (lang, words) WHERE doc_id <> first
 """,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom.functions import line_a, line_b, translit
+from linkloom.functions import vocab as V
 from linkloom.functions.tokens import collapse_initials, dedupe_consecutive, fix_leet, joined, tokens
 from linkloom.plans.q_retrieval import t
 from linkloom.shipping import ship
@@ -31,42 +32,45 @@ def _samples(spark):  # noqa: ANN001, ANN202
     return spark.range(1).select(F.inline(rows))
 
 
-def _first_words(spark, sf, n=12):  # noqa: ANN001, ANN202
-    """The first words of each document, lower-cased letters and digits only."""
-    words = F.slice(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""), 1, n)
+def _words(spark, sf):  # noqa: ANN001, ANN202
+    """The words of each whole document, lower-cased letters and digits only."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
     return t(spark, sf, "documents").select("doc_id", F.explode(F.array(words)).alias("w"))
 
 
 def leet_fix(spark, sf):  # noqa: ANN001, ANN201
     mixed = F.transform("w", lambda x, i: F.when(i % 2 == 0, F.translate(x, "oea", "034")).otherwise(x))
-    return _first_words(spark, sf).select("doc_id", joined(fix_leet(mixed)).alias("fixed"))
+    return _words(spark, sf).select("doc_id", joined(fix_leet(mixed)).alias("fixed"))
 
 
 def collapse_initials_q(spark, sf):  # noqa: ANN001, ANN201
     single = F.transform("w", lambda x, i: F.when(i % 4 < 2, F.substring(x, 1, 1)).otherwise(x))
-    return _first_words(spark, sf).select("doc_id", joined(collapse_initials(single)).alias("collapsed"))
+    return _words(spark, sf).select("doc_id", joined(collapse_initials(single)).alias("collapsed"))
 
 
 def dedupe_consecutive_q(spark, sf):  # noqa: ANN001, ANN201
-    return _first_words(spark, sf, 60).select("doc_id", joined(dedupe_consecutive(F.transform("w", lambda x: F.substring(x, 1, 1)))).alias("deduped"))
+    return _words(spark, sf).select("doc_id", joined(dedupe_consecutive(F.transform("w", lambda x: F.substring(x, 1, 1)))).alias("deduped"))
 
 
 def array_set_ops(spark, sf):  # noqa: ANN001, ANN201
-    w = _first_words(spark, sf, 20).select("doc_id", F.slice("w", 1, 10).alias("a"), F.transform(F.slice("w", 6, 15), lambda x: x).alias("b"))
+    """Set operations between the first half of a document's words and the rest."""
+    half = F.floor(F.size("w") / 2).cast("int")
+    w = _words(spark, sf).select("doc_id", F.slice("w", F.lit(1), half).alias("a"), F.slice("w", half + 1, F.size("w")).alias("b"))
     s = lambda c: F.array_join(F.array_sort(c), " ")
     return w.select("doc_id", s(F.array_intersect("a", "b")).alias("both"), s(F.array_except("a", "b")).alias("only_a"), s(F.array_union("a", "b")).alias("either"))
 
 
 def phonetic_skeleton_a(spark, sf):  # noqa: ANN001, ANN201
-    return _first_words(spark, sf).select("doc_id", line_a.phonetic(joined(F.col("w"))).alias("phonetic"))
+    return _words(spark, sf).select("doc_id", line_a.phonetic(joined(F.col("w"))).alias("phonetic"))
 
 
 def phonetic_skeleton_b(spark, sf):  # noqa: ANN001, ANN201
-    return _first_words(spark, sf).select("doc_id", line_b.skeleton_expr(joined(F.col("w"))).alias("skeleton"))
+    return _words(spark, sf).select("doc_id", line_b.skeleton_expr(joined(F.col("w"))).alias("skeleton"))
 
 
 def noise_markers(spark, sf):  # noqa: ANN001, ANN201
-    d = t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("name"), F.substring("text", 61, 60).alias("addr"))
+    """Markers of whole texts, read both as name and as address."""
+    d = t(spark, sf, "documents").select("doc_id", F.col("text").alias("name"), F.col("text").alias("addr"))
     return d.select("doc_id", *[c.alias(k) for k, c in line_b.noise_markers(F.col("name"), F.col("addr")).items()])
 
 
@@ -104,7 +108,7 @@ def legal_set(spark, sf):  # noqa: ANN001, ANN201
 
 def translit_docs(spark, sf):  # noqa: ANN001, ANN201
     ship(spark)
-    return t(spark, sf, "documents").select("doc_id", translit.ascii_text(F.substring("text", 1, 200)).alias("plain"))
+    return t(spark, sf, "documents").select("doc_id", translit.ascii_text(F.col("text")).alias("plain"))
 
 
 def profile_columns(spark, sf):  # noqa: ANN001, ANN201
@@ -121,7 +125,7 @@ QUERIES = {
     "legal_set": legal_set, "translit_docs": translit_docs, "profile_columns": profile_columns,
 }
 
-_W = "w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:{n}] AS w FROM documents)"
+_W = "w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)"
 _SPACES = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 # A token at even places is written with digits for letters, as in the query.
 _SKEL = "array_to_string(w, ' ')"
@@ -133,16 +137,25 @@ _SKEL = f"regexp_replace({_SKEL}, '[aeiouyh]', '', 'g')"
 for _c in "bdfgjklmnprstv":
     _SKEL = f"regexp_replace({_SKEL}, '{_c}{_c}+', '{_c}', 'g')"
 
+_PHON = "x"
+for _a, _b in V.PHONETIC_PAIRS_A:
+    _PHON = f"replace({_PHON}, '{_a}', '{_b}')"
+_PHON = f"translate(regexp_replace(regexp_replace({_PHON}, 'c([eiy])', 's\\1', 'g'), 'g([eiy])', 'j\\1', 'g'), 'cqxzwydm', 'kkksvitn')"
+_PHON = f"list_transform([{_PHON}], lambda v: substr(v, 1, 1) || regexp_replace(substr(v, 2), '[aeiou]+', '', 'g'))[1]"
+for _c in "abcdefghijklmnopqrstuvwxyz":
+    _PHON = f"regexp_replace({_PHON}, '{_c}{_c}+', '{_c}', 'g')"
+
 ORACLES = {
-    "leet_fix": f"WITH {_W.format(n=12)}, m AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN i % 2 = 1 THEN translate(x, 'oea', '034') ELSE x END) AS w FROM w) SELECT doc_id, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') AND length(regexp_replace(x, '[^a-z]', '', 'g')) >= 2 THEN translate(x, '0134578', 'oleastb') ELSE x END), ' ') AS fixed FROM m",
-    "collapse_initials": f"""WITH {_W.format(n=12)}, m AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN (i - 1) % 4 < 2 THEN substr(x, 1, 1) ELSE x END) AS w FROM w),
+    "phonetic_skeleton_a": f"WITH {_W} SELECT doc_id, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN x ELSE {_PHON} END), ' ') AS phonetic FROM w",
+    "leet_fix": f"WITH {_W}, m AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN i % 2 = 1 THEN translate(x, 'oea', '034') ELSE x END) AS w FROM w) SELECT doc_id, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') AND length(regexp_replace(x, '[^a-z]', '', 'g')) >= 2 THEN translate(x, '0134578', 'oleastb') ELSE x END), ' ') AS fixed FROM m",
+    "collapse_initials": f"""WITH {_W}, m AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN (i - 1) % 4 < 2 THEN substr(x, 1, 1) ELSE x END) AS w FROM w),
 e AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM m), f AS (SELECT *, regexp_matches(x, '^[a-z]$') AND coalesce(regexp_matches(lag(x) OVER (PARTITION BY doc_id ORDER BY i), '^[a-z]$'), false) AS glue FROM e),
 g AS (SELECT doc_id, i, (CASE WHEN glue OR i = 1 THEN '' ELSE ' ' END) || x AS x FROM f)
 SELECT d.doc_id, coalesce(string_agg(g.x, '' ORDER BY g.i), '') AS collapsed FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id""",
-    "dedupe_consecutive": f"WITH {_W.format(n=60)}, m AS (SELECT doc_id, list_transform(w, lambda x: substr(x, 1, 1)) AS w FROM w) SELECT doc_id, array_to_string(list_filter(w, lambda x, i: i = 1 OR x <> w[i - 1]), ' ') AS deduped FROM m",
-    "array_set_ops": f"WITH {_W.format(n=20)}, m AS (SELECT doc_id, w[1:10] AS a, w[6:20] AS b FROM w) SELECT doc_id, array_to_string(list_sort(list_distinct(list_intersect(a, b))), ' ') AS both, array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))), ' ') AS only_a, array_to_string(list_sort(list_distinct(a || b)), ' ') AS either FROM m",
-    "phonetic_skeleton_b": f"WITH {_W.format(n=12)} SELECT doc_id, {_SPACES.format(_SKEL)} AS skeleton FROM w",
-    "noise_markers": """WITH d AS (SELECT doc_id, substr(text, 1, 60) AS name, substr(text, 61, 60) AS addr FROM documents), k AS (SELECT *, regexp_extract_all(lower(name), '[a-z]+') AS tk FROM d)
+    "dedupe_consecutive": f"WITH {_W}, m AS (SELECT doc_id, list_transform(w, lambda x: substr(x, 1, 1)) AS w FROM w) SELECT doc_id, array_to_string(list_filter(w, lambda x, i: i = 1 OR x <> w[i - 1]), ' ') AS deduped FROM m",
+    "array_set_ops": f"WITH {_W}, m AS (SELECT doc_id, w[1 : len(w) // 2] AS a, w[len(w) // 2 + 1 :] AS b FROM w) SELECT doc_id, array_to_string(list_sort(list_distinct(list_intersect(a, b))), ' ') AS both, array_to_string(list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))), ' ') AS only_a, array_to_string(list_sort(list_distinct(a || b)), ' ') AS either FROM m",
+    "phonetic_skeleton_b": f"WITH {_W} SELECT doc_id, {_SPACES.format(_SKEL)} AS skeleton FROM w",
+    "noise_markers": """WITH d AS (SELECT doc_id, text AS name, text AS addr FROM documents), k AS (SELECT *, regexp_extract_all(lower(name), '[a-z]+') AS tk FROM d)
 SELECT doc_id, (len(tk) > len(list_distinct(tk)))::INT::DOUBLE AS mk_dup, regexp_matches(name, '[À-ÿ]')::INT::DOUBLE AS mk_accent, regexp_matches(name, '[A-Za-z][0-9][A-Za-z]')::INT::DOUBLE AS mk_ocr, regexp_matches(name, '^[^\\p{L}\\p{M}\\p{N}_]')::INT::DOUBLE AS mk_junk,
 regexp_matches(name, '[\\[(]')::INT::DOUBLE AS mk_brackets, regexp_matches(name, '[ऀ-෿]')::INT::DOUBLE AS mk_script, regexp_matches(name, '\\.com|www|\\.in\\b|\\.net')::INT::DOUBLE AS mk_domain, (name = upper(name))::INT::DOUBLE AS mk_upper_name,
 regexp_matches(addr, '\\b0+[1-9][0-9]*')::INT::DOUBLE AS mk_zeropad, regexp_matches(addr, '##|#[0-9]')::INT::DOUBLE AS mk_hash, regexp_matches(lower(addr), 'po box|pmb')::INT::DOUBLE AS mk_pobox, (addr = upper(addr) AND addr <> '')::INT::DOUBLE AS mk_upper_addr FROM k""",
