@@ -94,7 +94,40 @@ QUERIES = {
 
 _J = "list_distinct(string_split(n1, ' ')) AS x, list_distinct(string_split(n2, ' ')) AS y"
 _INI = "array_to_string(list_transform(string_split({}, ' '), lambda w: substr(w, 1, 1)), '')"
+_NAMES = f"{_PART_PAIRS}, nm AS (SELECT q, s, lower(n1) AS a, lower(n2 || ' ' || t1) AS b FROM pp)"
+
+
+def _ratios(pairs: str) -> str:
+    """CTEs up to ``ratio (a, b, r)``: the normalised indel ratio of each distinct pair of the relation ``pairs``, by a table of common subsequences a row a step."""
+    return f"""dp(a, b, i, best) AS (SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM (SELECT DISTINCT a, b FROM {pairs})
+UNION ALL SELECT a, b, i + 1, list_reduce(list_concat([[0]], list_transform(range(1, length(b) + 1), lambda j: [greatest(best[j + 1], best[j] + (substr(b, j, 1) = substr(a, i + 1, 1))::INT)])), lambda acc, e: list_append(acc, greatest(acc[-1], e[1])))
+FROM dp WHERE i < length(a)), ratio AS (SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * best[-1] / (length(a) + length(b)) END AS r FROM dp WHERE i = length(a))"""
+
+
+def _token_set(names: str, out: str) -> str:
+    """CTE ``out (q, s, r)``: the token-set ratio of the names' sides."""
+    sort = lambda c: f"array_to_string({c}, ' ')"
+    return f"""ts0 AS (SELECT q, s, list_sort(list_distinct(string_split(a, ' '))) AS x, list_sort(list_distinct(string_split(b, ' '))) AS y FROM {names}),
+ts1 AS (SELECT q, s, list_filter(x, lambda w: list_contains(y, w)) AS c, list_filter(x, lambda w: NOT list_contains(y, w)) AS o, list_filter(y, lambda w: NOT list_contains(x, w)) AS t FROM ts0),
+ts2 AS (SELECT q, s, len(c) AS nc, len(o) AS no, len(t) AS nt, {sort("c")} AS m, {sort("c || o")} AS l, {sort("c || t")} AS r FROM ts1),
+ts3 AS (SELECT q, s, nc, no, nt, unnest(CASE WHEN nc = 0 THEN [{{'a': l, 'b': r}}] ELSE [{{'a': l, 'b': r}}, {{'a': m, 'b': l}}, {{'a': m, 'b': r}}] END) AS ab FROM ts2),
+ts4 AS (SELECT q, s, nc, no, nt, ab.a AS a, ab.b AS b FROM ts3), {_ratios("ts4")},
+{out} AS (SELECT q, s, CASE WHEN nc > 0 AND (no = 0 OR nt = 0) THEN 1.0::DOUBLE ELSE max(r) END AS r FROM ts4 JOIN ratio USING (a, b) GROUP BY q, s, nc, no, nt)"""
+
+
 ORACLES = {
+    "indel_ratio_pairs": f"WITH RECURSIVE {_NAMES}, {_ratios('nm')} SELECT q, s, round(r, 6) AS ratio FROM nm JOIN ratio USING (a, b)",
+    "token_sort_ratio": f"""WITH RECURSIVE {_NAMES}, so AS (SELECT q, s, array_to_string(list_sort(string_split(a, ' ')), ' ') AS a, array_to_string(list_sort(string_split(b, ' ')), ' ') AS b FROM nm), {_ratios('so')}
+SELECT q, s, round(r, 6) AS ratio FROM so JOIN ratio USING (a, b)""",
+    "token_set_ratio": f"WITH RECURSIVE {_NAMES}, {_token_set('nm', 'tset')} SELECT q, s, round(r, 6) AS ratio FROM tset",
+    "partial_ratio": f"""WITH RECURSIVE {_NAMES}, sides AS (SELECT q, s, a AS x, b AS y FROM nm WHERE length(a) <= length(b) UNION ALL SELECT q, s, b, a FROM nm WHERE length(b) <= length(a)),
+win AS (SELECT q, s, x AS a, unnest(list_transform(range(1 - length(x), length(y)), lambda i: substr(y, greatest(i, 0) + 1, least(length(y), i + length(x)) - greatest(i, 0)))) AS b FROM sides), {_ratios('win')}
+SELECT q, s, round(max(r), 6) AS ratio FROM win JOIN ratio USING (a, b) GROUP BY q, s""",
+    "token_cover_miss": f"""WITH RECURSIVE {_NAMES}, tk AS (SELECT q, s, 1 AS side, unnest(string_split(a, ' ')) AS a, generate_subscripts(string_split(a, ' '), 1) AS k, string_split(b, ' ') AS o FROM nm
+UNION ALL SELECT q, s, 2, unnest(string_split(b, ' ')), generate_subscripts(string_split(b, ' '), 1), string_split(a, ' ') FROM nm), tp AS (SELECT q, s, side, k, a, unnest(o) AS b FROM tk), {_ratios('tp')},
+best AS (SELECT q, s, side, k, max(r) AS r FROM tp JOIN ratio USING (a, b) GROUP BY ALL) SELECT q, s, count(*) FILTER (side = 1 AND r < 0.8) AS miss_12, count(*) FILTER (side = 2 AND r < 0.8) AS miss_21 FROM best GROUP BY q, s""",
+    "alias_best": f"""WITH RECURSIVE {_NAMES}, two AS (SELECT q * 2 AS q, s, a, b FROM nm UNION ALL SELECT q * 2 + 1, s, reverse(a), b FROM nm), {_token_set('two', 'tset')}
+SELECT q // 2 AS q, s, round(max(r), 6) AS best FROM tset GROUP BY q // 2, s""",
     "token_jaccard": f"WITH {_PART_PAIRS}, j AS (SELECT q, s, {_J} FROM pp) SELECT q, s, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y)))::DOUBLE, 6) AS jaccard, len(list_intersect(x, y)) AS shared FROM j",
     "token_miss": f"WITH {_PART_PAIRS}, j AS (SELECT q, s, string_split(n1, ' ') AS x, string_split(n2, ' ') AS y FROM pp), k AS (SELECT *, len(list_distinct(list_filter(x, lambda w: NOT list_contains(y, w)))) AS m FROM j) SELECT q, s, m AS miss, round(m / len(x)::DOUBLE, 6) AS frac FROM k",
     "number_features": f"""WITH {_PART_PAIRS}, n AS (SELECT q, s, [q::VARCHAR, z1::VARCHAR] AS x, [s::VARCHAR, z2::VARCHAR] AS y, q::VARCHAR AS f1, s::VARCHAR AS f2 FROM pp), m AS (SELECT *, len(list_distinct(list_intersect(x, y))) AS i, len(list_distinct(x || y)) AS u FROM n)

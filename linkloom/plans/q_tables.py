@@ -70,16 +70,26 @@ def list_file_validate(spark, sf):  # noqa: ANN001, ANN201
     return validate.list_findings(lists, need, "k", "l", known)
 
 
+#: Ranges that a source's keys are cut into: the offsets, one for each, are broadcast.
+RANGES = 4096
+
+
 def union_sources_dense_id(spark, sf):  # noqa: ANN001, ANN201
-    """Three sources under one schema with a dense id over (source, key): positions within ranges of keys plus the ranges' offsets, never one sorted partition."""
+    """Three sources under one schema with a dense id over (source, key): positions within ranges of keys plus the ranges' offsets.
+    A source has ``RANGES`` ranges between its least and greatest key, however many rows it has."""
     one = t(spark, sf, "supplier").select(F.lit(1).alias("src"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
     two = t(spark, sf, "customer").select(F.lit(2).alias("src"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
     three = t(spark, sf, "part").select(F.lit(3).alias("src"), F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
-    every = one.unionByName(two).unionByName(three).withColumn("bucket", F.floor(F.col("key") / 1000))
-    sizes = every.groupBy("src", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("src", "bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    at = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("key"))
-    return every.withColumn("at", at).join(F.broadcast(before), ["src", "bucket"]).select("src", "key", "name", (F.coalesce("before", F.lit(0)) + F.col("at") - 1).alias("rid"))
+    every = one.unionByName(two).unionByName(three)
+    ends = every.groupBy("src").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))  # one row for each source
+    cut = every.join(F.broadcast(ends), "src").withColumn("range", F.floor((F.col("key") - F.col("lo")) * RANGES / (F.col("hi") - F.col("lo") + 1)))
+    sizes = cut.groupBy("src", "range").agg(F.count(F.lit(1)).alias("n"))
+    totals = sizes.groupBy("src").agg(F.sum("n").alias("rows"))
+    earlier = ends.select("src").alias("a").join(totals.alias("b"), F.col("b.src") < F.col("a.src"), "left").groupBy("a.src").agg(F.coalesce(F.sum("b.rows"), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.withColumn("inside", inside).join(earlier, "src").select("src", "range", (F.col("inside") + F.col("base")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("src", "range").orderBy("key"))
+    return cut.withColumn("at", at).join(F.broadcast(before), ["src", "range"]).select("src", "key", "name", (F.col("before") + F.col("at") - 1).alias("rid"))
 
 
 def block_report(spark, sf):  # noqa: ANN001, ANN201
@@ -122,6 +132,7 @@ def _uniform(a: str, b: str) -> str:
 
 
 ORACLES = {
+    "entity_roles": f"WITH x AS (SELECT c_custkey, {_uniform('c_custkey', '42')} * 100 AS u FROM customer) SELECT c_custkey, CASE WHEN u < 4 THEN 2 WHEN u < 8 THEN 3 WHEN u < 38 THEN 1 ELSE 0 END AS role FROM x",
     "holdout_digits": "SELECT c_custkey, (c_custkey // 100) % 10 IN (3, 7) AS held, (((c_custkey * 2654435761) % 4294967296) >> 16) % 5 AS fold, (c_custkey * 2246822519) % 1000 < 250 AS in_quarter FROM customer",
     "pair_uniform": f"SELECT l_orderkey, l_linenumber, round({_uniform('l_orderkey', 'l_suppkey')}, 9) AS u FROM lineitem",
     "easy_negative_sample": f"""WITH {_S}, tr AS (SELECT DISTINCT l_orderkey AS rid, l_suppkey AS s1 FROM lineitem WHERE l_returnflag = 'R'), x AS (SELECT sc.rid, sc.s1, p, (tr.rid IS NOT NULL)::INT AS label, max(p) OVER (PARTITION BY sc.rid) AS best FROM sc LEFT JOIN tr ON tr.rid = sc.rid AND tr.s1 = sc.s1)
