@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,23 @@ def touching(candidates: DataFrame, held: DataFrame) -> DataFrame:
     """All candidates of records that have a candidate among the held-out entities (s1)."""
     records = candidates.join(held, "s1", "left_semi").select("rid").distinct()
     return candidates.join(records, "rid", "left_semi")
+
+
+def subworld_fraction(entities: DataFrame, records: DataFrame, truth: DataFrame, key: str, rec_key: str, share: float, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``subworld``, for any share of the entities, drawn by a mix of key and seed."""
+    drawn = lambda c: pair_uniform(F.col(c), F.lit(seed)) < share
+    ents = entities.where(drawn(key))
+    pairs = truth.join(ents.select(F.col(key).alias("s1")), "s1", "left_semi")
+    mine = records.join(pairs.select(F.col("rid").alias(rec_key)), rec_key, "left_semi")
+    free = records.join(truth.select(F.col("rid").alias(rec_key)), rec_key, "left_anti").where(drawn(rec_key))
+    return ents, mine.unionByName(free), pairs
+
+
+def reindexed(rows: DataFrame, key: str, order: Sequence[str] = (), ranges: int = 4096) -> DataFrame:
+    """Adds ``row``, a dense number from 0 in the order of an integer key: positions within ranges of the key plus the ranges' offsets."""
+    ends = rows.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))  # one row
+    cut = rows.join(F.broadcast(ends)).withColumn("_range", F.floor((F.col(key) - F.col("_lo")) * ranges / (F.col("_hi") - F.col("_lo") + 1)))
+    sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most ``ranges`` rows
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(key, *order))
+    return cut.withColumn("_at", at).join(F.broadcast(before), "_range").withColumn("row", F.col("_before") + F.col("_at") - 1).drop("_lo", "_hi", "_range", "_at", "_before")

@@ -6,10 +6,10 @@ orders play entities and records, lineitem plays scored pairs (record: order, en
 
 from __future__ import annotations
 
-from linkloom.plans import q_decisions, q_models, q_pairs, q_retrieval, q_tables, q_text
+from linkloom.plans import q_decisions, q_inspect, q_models, q_pairs, q_retrieval, q_tables, q_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (q_retrieval, q_decisions, q_text, q_pairs, q_tables, q_models):
+for _module in (q_retrieval, q_decisions, q_text, q_pairs, q_tables, q_inspect, q_models):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

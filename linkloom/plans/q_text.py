@@ -10,26 +10,38 @@ from linkloom.functions.tokens import collapse_initials, dedupe_consecutive, fix
 from linkloom.plans.q_retrieval import t
 from linkloom.shipping import ship
 
-#: Names and addresses that show each rule; (id, name, address, country).
-SAMPLES = (
-    (1, "L.L.C. Halotavo", "0701 Main St, TX, 00272", "us"),
-    (2, "n0rth 5ons Ltd", "2nd Floor, 12 Main St", "us"),
-    (3, "Halotavo F/K/A Roach Beverage Corp", "12 n main rd,, maharashtra, 400001", "india"),
-    (4, "www.indriya-club.com", "P.O. Box 12, 3rd Ave", "us"),
-    (5, "Acme Acme (ID: 77) | www.acme.com", "po box 44, 5 opp park, CA 90210", "us"),
-    (6, "raj & sons pvt. ltd.", "0083-231 nr temple, tn", "india"),
-    (7, "The L L C", "null, n/a, 7 r victor hugo, 075001", "france"),
-    (8, "bright producer private limited group", "darby CITY, new jersey, 0001", "us"),
-    (9, "Elan 12345678 #99 holdings", "a@b.com 9 west virginia rd", "us"),
-    (10, "", "", "us"),
-    (11, "xerox wheels dba quick box", "door no 5, sector 9, new delhi, 110001", "india"),
-    (12, "a1b c4t 77", "12/4 st, washington, wa", "us"),
+#: Names and addresses that show each rule, around a part's own words: {n} its name, {t} its type, {b} its brand, {k} its key.
+NAMES = (
+    "{n}", "{n} F/K/A {b} Corp", "The L.L.C. {n}", "N0rth 5ons {n} pvt. ltd.", "www.{t}.com", "{n} & {t} Company (ID: {k}) | www.x.com", "{n} {n} d.b.a. {t} incorporated", "",
+    "L L C", "{t} a b c formerly known as {n}, Limited", "a1b c4t {n} {k}", "https://x-{k}.org/a b",
 )
+ADDRESSES = (
+    "0{k} Main St, TX, 00272", "2nd Floor, 12 {n} St", "{k} n main rd,, Maharashtra, 400001", "P.O. Box {k}, 3rd Ave", "po box {k}, 5 opp park, CA, 90210", "0083-{k} nr {t}, tn", "null, n/a, 7 r {n} {n}, 075001",
+    "", "door no 5, sector 9, New Delhi, 110001", "12/4 st, washington, wa", "west virginia, 000 {b} hwy 0{k}", "5 st. ct. {k} , 01234 ,",
+)
+COUNTRIES = ("us", "india", "france")
+_FIELDS = {"{n}": "p_name", "{t}": "p_type", "{b}": "p_brand", "{k}": "p_partkey"}
+
+
+def _filled(patterns):  # noqa: ANN001, ANN202
+    """The pattern that a part's key picks, with the part's words in it."""
+    out = F.lit(None).cast("string")
+    for i, pattern in enumerate(patterns):
+        text = F.lit(pattern)
+        for mark, col in _FIELDS.items():
+            text = F.replace(text, F.lit(mark), F.col(col).cast("string"))
+        out = F.when(F.col("p_partkey") % len(patterns) == i, text).otherwise(out)
+    return out
+
 
+def _filled_sql(patterns):  # noqa: ANN001, ANN202
+    fields = lambda p: "replace(replace(replace(replace('{}', '{{n}}', p_name), '{{t}}', p_type), '{{b}}', p_brand), '{{k}}', p_partkey::VARCHAR)".format(p)
+    return f"CASE p_partkey % {len(patterns)} " + " ".join(f"WHEN {i} THEN {fields(p)}" for i, p in enumerate(patterns)) + " END"
 
-def _samples(spark):  # noqa: ANN001, ANN202
-    rows = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name"), F.lit(a).alias("addr"), F.lit(c).alias("country")) for i, n, a, c in SAMPLES])
-    return spark.range(1).select(F.inline(rows))
+
+def _parts(spark, sf):  # noqa: ANN001, ANN202
+    country = F.element_at(F.array(*[F.lit(c) for c in COUNTRIES]), (F.col("p_partkey") % len(COUNTRIES) + 1).cast("int"))
+    return t(spark, sf, "part").select(F.col("p_partkey").alias("id"), _filled(NAMES).alias("name"), _filled(ADDRESSES).alias("addr"), country.alias("country"))
 
 
 def _words(spark, sf):  # noqa: ANN001, ANN202
@@ -86,17 +98,17 @@ def url_tail_strip(spark, sf):  # noqa: ANN001, ANN201
 
 def name_clean_a(spark, sf):  # noqa: ANN001, ANN201
     ship(spark)
-    return line_a.clean_name(_samples(spark), "name").select("id", "name_clean", "name_core", "name_alt", "legal", "name_nonlatin", "name_is_domain")
+    return line_a.clean_name(_parts(spark, sf), "name").select("id", "name_clean", "name_core", "name_alt", "legal", "name_nonlatin", "name_is_domain")
 
 
 def clean_address(spark, sf):  # noqa: ANN001, ANN201
     ship(spark)
-    return line_a.clean_address(_samples(spark), "addr", "country").select("id", "addr_clean", "addr_nums", "state", "postcode")
+    return line_a.clean_address(_parts(spark, sf), "addr", "country").select("id", "addr_clean", "addr_nums", "state", "postcode")
 
 
 def normalize_b(spark, sf):  # noqa: ANN001, ANN201
     ship(spark)
-    return line_b.normalize(_samples(spark)).select("id", "name_n", "core_n", "skel", "addr_n", "addr_c", "core_c", "legal")
+    return line_b.normalize(_parts(spark, sf)).select("id", "name_n", "core_n", "skel", "addr_n", "addr_c", "core_c", "legal")
 
 
 def legal_set(spark, sf):  # noqa: ANN001, ANN201
@@ -145,7 +157,49 @@ _PHON = f"list_transform([{_PHON}], lambda v: substr(v, 1, 1) || regexp_replace(
 for _c in "abcdefghijklmnopqrstuvwxyz":
     _PHON = f"regexp_replace({_PHON}, '{_c}{_c}+', '{_c}', 'g')"
 
+
+
+def _case(x: str, mapping) -> str:  # noqa: ANN001
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + f" ELSE {x} END"
+
+
+def _among(x: str, words) -> str:  # noqa: ANN001
+    return f"{x} IN ({', '.join(repr(w) for w in words)})"
+
+
+def _token_sql(source: str) -> str:
+    """CTEs up to ``tk (id, part, w)``: the name tokens of texts (id, part, x). Single letters carry a mark until their runs are joined."""
+    return f"""k1 AS (SELECT id, part, list_filter(string_split(regexp_replace(replace(replace(x, '&', ' and '), '+', ' plus '), '[^a-z0-9 ]+', ' ', 'g'), ' '), lambda v: v <> '') AS w FROM {source}),
+k2 AS (SELECT id, part, list_transform(w, lambda v: CASE WHEN regexp_matches(v, '[0-9]') AND length(regexp_replace(v, '[^a-z]', '', 'g')) >= 2 THEN translate(v, '0134578', 'oleastb') ELSE v END) AS w FROM k1),
+k3 AS (SELECT id, part, list_reduce(list_concat([['']], list_transform(w, lambda v: [CASE WHEN regexp_matches(v, '^[a-z]$') THEN v || '#' ELSE v END])),
+ lambda acc, e: CASE WHEN suffix(acc[-1], '#') AND suffix(e[1], '#') THEN list_append(acc[1 : len(acc) - 1], acc[-1][1 : length(acc[-1]) - 1] || e[1]) ELSE list_append(acc, e[1]) END) AS w FROM k2),
+k4 AS (SELECT id, part, list_filter(list_transform(w, lambda v: replace(v, '#', '')), lambda v: v <> '') AS w FROM k3), tk AS (SELECT id, part, list_filter(w, lambda v, i: i = 1 OR v <> w[i - 1]) AS w FROM k4)"""
+
+
+_ALIAS_SQL = line_a.ALIAS
+_CORE = "array_to_string(list_filter({}, lambda v: NOT " + _among("v", [*V.LEGAL_A, *V.NAME_STOP_A]) + "), ' ')"
+_STATES = sorted({*V.US_STATES_A, *V.US_STATES_A.values(), *V.IN_STATES_A, *V.IN_STATES_A.values(), *V.MORE_STATES_A})
+_BARE = "CASE WHEN ltrim({0}, '0') = '' THEN '0' ELSE ltrim({0}, '0') END"
+
 ORACLES = {
+    "alias_split_legal_core": f"""WITH raw AS (SELECT p_partkey AS id, {_filled_sql(NAMES)} AS name FROM part),
+s AS (SELECT id, trim(lower(regexp_replace(regexp_replace(name, '\\(\\s*id\\s*:?\\s*\\d+\\s*\\)', ' ', 'gi'), '\\|\\s*(?:https?://)?(?:www\\.)?\\S+\\s*$', ' ', 'gi'))) AS s FROM raw),
+d AS (SELECT id, s, regexp_extract(s, '{line_a.DOMAIN}', 1) AS stem FROM s), e AS (SELECT id, (stem <> '' AND NOT contains(s, ' ')) AS hit, CASE WHEN stem <> '' AND NOT contains(s, ' ') THEN replace(stem, '-', ' ') ELSE s END AS d FROM d),
+p AS (SELECT id, hit, regexp_split_to_array(d, '{_ALIAS_SQL}') AS parts FROM e),
+texts AS (SELECT id, 'all' AS part, array_to_string(parts, ' ') AS x FROM p UNION ALL SELECT id, 'first', parts[1] FROM p UNION ALL SELECT id, 'last', parts[-1] FROM p), {_token_sql('texts')},
+m AS (SELECT p.id, hit, len(parts) > 1 AS alias, list_transform(a.w, lambda v: {_case('v', V.LEGAL_A)}) AS t, {_CORE.format('f.w')} AS first, {_CORE.format('l.w')} AS last FROM p
+ JOIN tk a ON a.id = p.id AND a.part = 'all' JOIN tk f ON f.id = p.id AND f.part = 'first' JOIN tk l ON l.id = p.id AND l.part = 'last')
+SELECT id, array_to_string(t, ' ') AS name_clean, CASE WHEN alias AND last <> '' THEN last ELSE {_CORE.format('t')} END AS name_core, CASE WHEN alias THEN first ELSE '' END AS name_alt,
+array_to_string(list_sort(list_distinct(list_filter(string_split(array_to_string(list_transform(list_filter(t, lambda v: {_among('v', V.LEGAL_A)}), lambda v: {_case('v', V.LEGAL_A)}), ' '), ' '), lambda v: v <> ''))), ' ') AS legal, 0 AS name_nonlatin, hit::INT AS name_is_domain FROM m""",
+    "clean_address": f"""WITH raw AS (SELECT p_partkey AS id, lower({_filled_sql(ADDRESSES)}) AS addr, {list(COUNTRIES)}[p_partkey % {len(COUNTRIES)} + 1] AS country FROM part),
+c0 AS (SELECT id, country, list_transform(string_split(addr, ','), lambda c: {{'raw': c, 'c': array_to_string(list_filter(string_split(regexp_replace(c, '[^a-z0-9 ]+|\\s+', ' ', 'g'), ' '), lambda v: v <> ''), ' ')}}) AS cs FROM raw),
+c1 AS (SELECT id, country, list_filter(cs, lambda c: c.c <> '') AS cs FROM c0), c2 AS (SELECT id, country, cs, coalesce(list_position(list_transform(cs, lambda c: {_among('c.c', _STATES)}), true), 0) AS hit FROM c1),
+c3 AS (SELECT id, CASE WHEN hit = 0 THEN '' WHEN country = 'us' THEN {_case('cs[hit].c', V.US_STATES_A)} WHEN country = 'india' THEN {_case('cs[hit].c', V.IN_STATES_A)} ELSE cs[hit].c END AS state,
+ regexp_replace(array_to_string(list_transform(list_filter(cs, lambda c, i: i <> hit), lambda c: c.raw), ' , '), '{line_a.PO_BOX}', ' ', 'g') AS rest FROM c2),
+c4 AS (SELECT id, state, regexp_extract(rest, '{line_a.POSTCODE}', 1) AS code, list_filter(string_split(regexp_replace(rest, '[^a-z0-9 ]+|\\s+', ' ', 'g'), ' '), lambda v: v <> '') AS w FROM c3),
+c5 AS (SELECT id, state, code, list_filter(list_transform(w, lambda v: CASE WHEN regexp_matches(v, '^[0-9]+$') THEN {_BARE.format('v')} ELSE regexp_replace({_case('v', V.ADDR_ABBR_A)}, '^([0-9]+)(?:st|nd|rd|th)$', '\\1') END), lambda v: NOT {_among('v', V.ADDR_STOP_A)}) AS w FROM c4),
+c6 AS (SELECT id, state, code, list_filter(w, lambda v, i: i = 1 OR v <> w[i - 1]) AS w FROM c5)
+SELECT id, array_to_string(w, ' ') AS addr_clean, array_to_string(list_filter(w, lambda v: regexp_matches(v, '[0-9]')), ' ') AS addr_nums, state, CASE WHEN code = '' THEN '' ELSE {_BARE.format('code')} END AS postcode FROM c6""",
     "phonetic_skeleton_a": f"WITH {_W} SELECT doc_id, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN x ELSE {_PHON} END), ' ') AS phonetic FROM w",
     "leet_fix": f"WITH {_W}, m AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN i % 2 = 1 THEN translate(x, 'oea', '034') ELSE x END) AS w FROM w) SELECT doc_id, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') AND length(regexp_replace(x, '[^a-z]', '', 'g')) >= 2 THEN translate(x, '0134578', 'oleastb') ELSE x END), ' ') AS fixed FROM m",
     "collapse_initials": f"""WITH {_W}, m AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN (i - 1) % 4 < 2 THEN substr(x, 1, 1) ELSE x END) AS w FROM w),

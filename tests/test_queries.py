@@ -34,3 +34,14 @@ def test_query(spark, con, name):
     got = catalogue.QUERIES[name](spark, SF).toPandas()
     if name in catalogue.ORACLES:
         assert rows(got) == rows(con.execute(catalogue.ORACLES[name]).df())
+    else:
+        assert len(got) and got.columns.is_unique and got[got.columns[0]].notna().all()
+
+
+def test_whole_texts_are_read(spark, con):
+    """Nothing that text queries return stops before the text does."""
+    n = con.execute("SELECT max(len(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) FROM documents").fetchone()[0]
+    longest = catalogue.QUERIES["leet_fix"](spark, SF).selectExpr("max(size(split(fixed, ' ')))").first()[0]
+    assert n - 2 <= longest <= n
+    plain = catalogue.QUERIES["translit_docs"](spark, SF).selectExpr("max(length(plain))").first()[0]
+    assert plain >= con.execute("SELECT max(length(text)) FROM documents").fetchone()[0]
