@@ -100,8 +100,8 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class RollingHash:
     """Polynomial prefix hashes (mod 2**64, odd base, random byte values) of up to ``most`` bytes."""
 
-    def __init__(self, most: int, seed: int = 7):
-        base = 0x9E3779B97F4A7C15
+    def __init__(self, most: int, seed: int = 7, base: int = 0x9E3779B97F4A7C15):
+        self.seed, self.base = seed, base
         self.values = np.random.default_rng(seed).integers(1, 2**63, 256).astype(np.uint64)
         self.up, self.down = (self._powers(b, most) for b in (base, pow(base, -1, 2**64)))
 
@@ -113,7 +113,7 @@ class RollingHash:
 
     def grow(self, n: int) -> None:
         if n >= len(self.up):
-            self.__init__(n + n // 4)
+            self.__init__(n + n // 4, self.seed, self.base)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """h with h[i] - h[j] the hash of data[j:i], times base**j."""

@@ -108,6 +108,14 @@ def test_repeats_against_brute_force(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("length", [12, 50, 333])
+def test_repeats_of_other_lengths(spark, length):
+    p = " ".join(words(120, 31))
+    rows = [(1, p + " tail"), (2, "head " + p[:140] + " other"), (3, p[5 : 5 + length]), (3, p[6 : 5 + length]), (4, "z" * (length + 3)), (5, " ".join(words(60, 32)))]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(frame(spark, rows), length=length).collect())
+    assert got == brute_repeats(rows, length)
+
+
 def test_passages(spark):
     p = words(70, 5)
     fuzzy = p[:]
