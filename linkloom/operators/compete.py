@@ -54,14 +54,22 @@ def context(pairs: DataFrame, score: str) -> DataFrame:
 
 
 def leads(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Adds lead_c for each column: its distance to the record's best other candidate (-1 where there is none)."""
-    both = F.slice
-    tops = pairs.groupBy("rid").agg(*[both(F.sort_array(F.collect_list(c), asc=False), 1, 2).alias(f"_t_{c}") for c in columns])
-    out = pairs.join(tops, "rid")
+    """Adds lead_c for each column: its distance to the record's best other candidate (-1 where there is none).
+
+    The best other is the greatest value, or for a pair that holds it the greatest below it or the same again where several
+    hold it: mergeable aggregates, so no task gathers a record's values.
+    """
+    best = pairs.groupBy("rid").agg(*[F.max(c).alias(f"_best_{c}") for c in columns])
+    met = pairs.join(best, "rid")
+    next_ = met.groupBy("rid").agg(
+        *[F.max(F.when(F.col(c) < F.col(f"_best_{c}"), F.col(c))).alias(f"_next_{c}") for c in columns], *[F.sum((F.col(c) == F.col(f"_best_{c}")).cast("int")).alias(f"_ties_{c}") for c in columns]
+    )
+    out = met.join(next_, "rid")
     for c in columns:
-        t1, t2 = F.get(f"_t_{c}", F.lit(0)), F.coalesce(F.get(f"_t_{c}", F.lit(1)), F.lit(-1.0))
-        out = out.withColumn(f"lead_{c}", F.col(c) - F.when(F.col(c) >= t1, t2).otherwise(t1))
-    return out.drop(*[f"_t_{c}" for c in columns])
+        top = F.col(f"_best_{c}")
+        second = F.when(F.col(f"_ties_{c}") > 1, top).otherwise(F.coalesce(f"_next_{c}", F.lit(-1.0)))
+        out = out.withColumn(f"lead_{c}", F.col(c) - F.when(F.col(c) < top, top).otherwise(second))
+    return out.select(*pairs.columns, *[f"lead_{c}" for c in columns])
 
 
 def value_frequency(entities: DataFrame, others: DataFrame, block: str, value: str) -> DataFrame:

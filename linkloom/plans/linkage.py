@@ -74,7 +74,7 @@ def run_line_b(sources: dict[str, DataFrame], truth: DataFrame, k: int = 10, rou
     for src, df in sources.items():
         part = df.select(F.lit(int(src)).alias("src"), "entity_id", F.trim(F.lower("country")).alias("country"), F.col("business_name").alias("name"), F.col("business_address").alias("addr"))
         raw = part if raw is None else raw.unionByName(part)
-    recs = line_b.normalize(raw)
+    recs = line_b.prepared(raw)
     texts = recs.select("entity_id", F.concat_ws(" ", "core_n", "skel", "addr_n").alias("t_z"), F.col("addr_n").alias("t_za"), F.concat_ws(" ", "core_n", "skel").alias("t_zn"))
     views = encoder.encode_views(texts, "entity_id", {"z": "t_z", "za": "t_za", "zn": "t_zn"}, encoder.Encoder(dims))
     base = recs.join(views, "entity_id")

@@ -77,7 +77,7 @@ def phonetic_skeleton_a(spark, sf):  # noqa: ANN001, ANN201
 
 
 def phonetic_skeleton_b(spark, sf):  # noqa: ANN001, ANN201
-    return _words(spark, sf).select("doc_id", line_b.skeleton_expr(joined(F.col("w"))).alias("skeleton"))
+    return _words(spark, sf).select("doc_id", line_b.consonants(joined(F.col("w"))).alias("skeleton"))
 
 
 def noise_markers(spark, sf):  # noqa: ANN001, ANN201
@@ -88,7 +88,7 @@ def noise_markers(spark, sf):  # noqa: ANN001, ANN201
 
 def clean_domain(spark, sf):  # noqa: ANN001, ANN201
     stem, flag = line_a.domain_stem(F.lower("url"))
-    return t(spark, sf, "pages").select("page_id", stem.alias("stem"), flag.alias("is_domain"), line_b.name_expr(F.col("url")).alias("name_b"))
+    return t(spark, sf, "pages").select("page_id", stem.alias("stem"), flag.alias("is_domain"), joined(line_b.name_words(F.col("url"))).alias("name_b"))
 
 
 def url_tail_strip(spark, sf):  # noqa: ANN001, ANN201
@@ -108,14 +108,14 @@ def clean_address(spark, sf):  # noqa: ANN001, ANN201
 
 def normalize_b(spark, sf):  # noqa: ANN001, ANN201
     ship(spark)
-    return line_b.normalize(_parts(spark, sf)).select("id", "name_n", "core_n", "skel", "addr_n", "addr_c", "core_c", "legal")
+    return line_b.prepared(_parts(spark, sf)).select("id", "name_n", "core_n", "skel", "addr_n", "addr_c", "core_c", "legal")
 
 
 def legal_set(spark, sf):  # noqa: ANN001, ANN201
     """Legal forms of part types read as names: the last word becomes a legal word by the key."""
     forms = F.array(*[F.lit(w) for w in ("incorporated", "company", "ltd", "private limited", "cie")])
     p = t(spark, sf, "part").select("p_partkey", F.concat_ws(" ", F.lower("p_name"), F.get(forms, (F.col("p_partkey") % 5).cast("int"))).alias("n"))
-    return p.select("p_partkey", line_b.legal_forms(F.col("n")).alias("legal"), joined(line_a.legal_of(tokens(F.col("n")))).alias("legal_a"))
+    return p.select("p_partkey", joined(line_b.legal_words(tokens(F.col("n")))).alias("legal"), joined(line_a.legal_of(tokens(F.col("n")))).alias("legal_a"))
 
 
 def translit_docs(spark, sf):  # noqa: ANN001, ANN201
@@ -181,7 +181,32 @@ _CORE = "array_to_string(list_filter({}, lambda v: NOT " + _among("v", [*V.LEGAL
 _STATES = sorted({*V.US_STATES_A, *V.US_STATES_A.values(), *V.IN_STATES_A, *V.IN_STATES_A.values(), *V.MORE_STATES_A})
 _BARE = "CASE WHEN ltrim({0}, '0') = '' THEN '0' ELSE ltrim({0}, '0') END"
 
+
+
+def _rewritten(x: str, rules) -> str:  # noqa: ANN001
+    for found, put in rules:
+        x = f"regexp_replace({x}, '{found.replace(chr(39), chr(39) * 2)}', '{put.replace('$', chr(92))}', 'g')"
+    return x
+
+
+def _address_sql(x: str) -> str:
+    """Address words of lower-cased text; state names between spaces are marked, then read as codes."""
+    plain = f"trim(regexp_replace({_rewritten(x, line_b.ADDRESS_RULES)}, '\\s+', ' ', 'g'))"
+    marked = f"regexp_replace(' ' || {plain} || ' ', ' ({'|'.join(V.STATES_B)}) ', ' ' || chr(1) || '\\1' || chr(1) || ' ', 'g')"
+    codes = f"array_to_string(list_transform(string_split({marked}, chr(1)), lambda v: {_case('v', V.STATES_B)}), '')"
+    return f"list_transform(list_filter(string_split(regexp_replace({codes}, '\\s+', ' ', 'g'), ' '), lambda v: v <> ''), lambda v: {_case('v', V.ADDR_ABBR_B)})"
+
+
+_PICKED = "CASE WHEN len({0}) > 0 THEN {0} ELSE {1} END"
+
 ORACLES = {
+    "normalize_b": f"""WITH raw AS (SELECT p_partkey AS id, lower({_filled_sql(NAMES)}) AS name, lower({_filled_sql(ADDRESSES)}) AS addr FROM part),
+w AS (SELECT id, list_filter(string_split({_rewritten('name', line_b.NAME_RULES)}, ' '), lambda v: v <> '') AS n, {_address_sql('addr')} AS a, {_address_sql(_rewritten('addr', line_b.CONTACT_RULES))} AS c FROM raw),
+x AS (SELECT *, list_filter(n, lambda v: NOT {_among('v', V.LEGAL_WORDS_B)}) AS core0 FROM w), y AS (SELECT *, {_PICKED.format('core0', 'n')} AS w FROM x),
+z AS (SELECT *, w AS core, list_filter(w, lambda v: NOT {_among('v', V.FILLER_B)} AND NOT regexp_matches(v, '{line_b.LONG_NUMBER}')) AS telling FROM y)
+SELECT id, array_to_string(n, ' ') AS name_n, array_to_string(core, ' ') AS core_n, {_SPACES.format(_SKEL)} AS skel, array_to_string(a, ' ') AS addr_n,
+array_to_string(list_filter(c, lambda v: NOT {_among('v', V.ADDR_JUNK_B)}), ' ') AS addr_c, array_to_string({_PICKED.format('telling', 'core')}, ' ') AS core_c,
+array_to_string(list_sort(list_distinct(list_transform(list_filter(n, lambda v: {_among('v', V.LEGAL_FORMS_B)}), lambda v: {_case('v', V.LEGAL_FORMS_B)}))), ' ') AS legal FROM z""",
     "alias_split_legal_core": f"""WITH raw AS (SELECT p_partkey AS id, {_filled_sql(NAMES)} AS name FROM part),
 s AS (SELECT id, trim(lower(regexp_replace(regexp_replace(name, '\\(\\s*id\\s*:?\\s*\\d+\\s*\\)', ' ', 'gi'), '\\|\\s*(?:https?://)?(?:www\\.)?\\S+\\s*$', ' ', 'gi'))) AS s FROM raw),
 d AS (SELECT id, s, regexp_extract(s, '{line_a.DOMAIN}', 1) AS stem FROM s), e AS (SELECT id, (stem <> '' AND NOT contains(s, ' ')) AS hit, CASE WHEN stem <> '' AND NOT contains(s, ' ') THEN replace(stem, '-', ' ') ELSE s END AS d FROM d),

@@ -57,22 +57,27 @@ def test_phonetic(spark):
 
 
 def test_line_b(spark):
-    assert one(spark, line_b.name_expr(F.col("a")), a="www.indriyaclub.com") == "indriyaclub"
-    assert one(spark, line_b.addr_expr(F.col("a")), a="0701 new jersey st, null") == "701 nj street"
-    assert one(spark, line_b.addr_expr(F.col("a")), a="0083-231") == "83 231"
-    assert one(spark, line_b.clean_addr_raw(F.col("a")), a="P.O. Box 12 oak").split() == ["oak"]
-    rows = line_b.normalize(spark.createDataFrame([("LLC", ""), ("Acme Group Inc", "Darby CITY")], "name string, addr string")).collect()
+    assert one(spark, F.array_join(line_b.name_words(F.col("a")), " "), a="www.indriyaclub.com") == "indriyaclub"
+    assert one(spark, F.array_join(line_b.address_words(F.col("a")), " "), a="0701 new jersey st, null") == "701 nj street"
+    assert one(spark, F.array_join(line_b.address_words(F.col("a")), " "), a="0083-231") == "83 231"
+    assert one(spark, line_b.without_contacts(F.col("a")), a="P.O. Box 12 oak").split() == ["oak"]
+    rows = line_b.prepared(spark.createDataFrame([("LLC", ""), ("Acme Group Inc", "Darby CITY")], "name string, addr string")).collect()
     assert [r.core_n for r in rows] == ["llc", "acme group"]
     assert [r.core_c for r in rows] == ["llc", "acme"] and rows[1].addr_c == "darby" and rows[1].legal == "inc"
 
 
 def test_names_are_stable(spark):
     df = spark.createDataFrame([(x,) for x in ("Raj & Sons Ltd", "n0rth 5ons", "A B C Co", "x")], "n string")
-    again = df.select(line_b.name_expr(F.col("n")).alias("n"))
-    assert [r[0] for r in again.select(line_b.name_expr(F.col("n"))).collect()] == [r[0] for r in again.collect()]
+    again = df.select(F.array_join(line_b.name_words(F.col("n")), " ").alias("n"))
+    assert [r[0] for r in again.select(F.array_join(line_b.name_words(F.col("n")), " ")).collect()] == [r[0] for r in again.collect()]
 
 
 def test_transliteration():
     assert to_ascii("Élan Ça ß") == "Elan Ca ss"
     assert to_ascii("plain") == "plain"
     assert to_ascii("श्री").isascii() and to_ascii("श्री").startswith("shr")
+
+
+def test_fixed_width_and_ids(spark):
+    row = spark.range(1).select(line_b.fixed_bytes(F.lit("abc"), 5).alias("b"), line_b.fixed_bytes(F.lit("abcdefg"), 4).alias("c"), line_b.id_num(F.lit("S2-0042")).alias("n")).first()
+    assert bytes(row.b) == b"abc\0\0" and bytes(row.c) == b"abcd" and row.n == 42
