@@ -32,7 +32,7 @@ GROUP_TOKENS = 4_000_000
 #: Tokens in a step group: each task makes as many groups as it can fill to this, and spreads the rest over them.
 STEP_TOKENS = 65_536
 #: Distinct words whose ids a task remembers.
-MEMO = 400_000
+MEMO = 800_000
 
 
 def word_bpe_path() -> str:
@@ -71,10 +71,15 @@ class WordEncoder:
         watched = gc.isenabled()
         gc.disable()  # the many short-lived lists here hold no cycles
         got = [list(map(self.memo.get, c)) for c in chunks]
-        gaps = [(g, c) for g, c in zip(got, chunks, strict=True) if None in g]
-        self._learn({w for g, c in gaps for i, w in zip(g, c, strict=True) if i is None})
-        for g, c in gaps:
-            g[:] = [self.memo[w] if i is None else i for i, w in zip(g, c, strict=True)]
+        gaps: list[tuple[list, list[str], int]] = []  # places of chunks that are new: few, and found without a loop over all
+        for g, c in zip(got, chunks, strict=True):
+            i = -1
+            for _ in range(g.count(None)):
+                i = g.index(None, i + 1)
+                gaps.append((g, c, i))
+        self._learn({c[i] for _, c, i in gaps})
+        for g, c, i in gaps:
+            g[i] = self.memo[c[i]]
         out = [b"".join(g) for g in got]
         if watched:
             gc.enable()
