@@ -19,12 +19,17 @@ from linkloom.llm.passages import cut_passages
 from linkloom.llm.quality import accepted
 
 
+def _row(id_col: str, key: Column) -> Column:
+    """One text for an id (or none) and a key, so that a join and a window deal rows alike and share a shuffle."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("bigint").cast("string"), F.lit("none")), key)
+
+
 def _one_of_each(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
     """The rows of ``docs`` whose id and ``key`` (of the text) are rows (id, key) of ``kept``, one for each."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), key.alias("_key"))
-    ids = kept.toDF("_kept_id", "_kept_key").distinct()
-    met = held.join(ids, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
-    alike = Window.partitionBy("_id", "_key").orderBy(F.col("_row").getField("text"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _row("doc_id", key).alias("_key"))
+    ids = kept.toDF("_kept_id", "_kept_key").select(_row("_kept_id", F.col("_kept_key")).alias("_key")).distinct()
+    met = held.join(ids, "_key", "left_semi")
+    alike = Window.partitionBy("_key").orderBy(F.col("_row").getField("text"))
     return met.withColumn("_n", F.row_number().over(alike)).where("_n = 1").select("_row.*")
 
 
