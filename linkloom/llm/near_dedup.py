@@ -24,7 +24,7 @@ from linkloom.llm.common import Cuts, RollingHash, mix64, shingle_hashes, slices
 SHINGLE, PERCENT = 5, 75
 #: Rows in a band and bands: a pair at 0.75 shares no bucket with probability (1 - 0.75**5)**48, about 2 in a million.
 ROWS, BANDS = 5, 48
-SLICE = 3_000_000
+SLICE = 1_500_000
 #: Buckets of up to this many nodes are compared pair by pair; larger ones by families, in blocks of about this many shingles.
 SMALL, BLOCK_SHINGLES = 24, 250_000
 

@@ -29,7 +29,7 @@ TRAIN_ROWS = 4000
 SHORT = 12
 #: A document is rejected when its score (probability of good quality) is below this.
 THRESHOLD = 0.5
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 _CLASS = np.arange(256, dtype=np.int64)
 _CLASS[ord("a") : ord("z") + 1] = ord("a")

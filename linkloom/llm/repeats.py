@@ -27,7 +27,7 @@ from linkloom.llm.common import Cuts, RollingHash, mix64, slices, table
 LENGTH, GRAM, REACH = 200, 16, 150
 #: Windows in a block of the second level.
 STEP = 8
-SLICE = 3_000_000
+SLICE = 1_500_000
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
