@@ -26,7 +26,7 @@ SHINGLE, PERCENT = 5, 75
 ROWS, BANDS = 5, 48
 SLICE = 1_500_000
 #: Buckets of up to this many nodes are compared pair by pair; larger ones by families, in blocks of about this many shingles.
-SMALL, BLOCK_SHINGLES = 24, 250_000
+SMALL, BLOCK_SHINGLES = 24, 100_000
 
 
 class Sketcher:
