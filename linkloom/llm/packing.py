@@ -32,7 +32,7 @@ GROUP_TOKENS = 4_000_000
 #: Tokens in a step group: each task makes as many groups as it can fill to this, and spreads the rest over them.
 STEP_TOKENS = 65_536
 #: Distinct words whose ids a task remembers.
-MEMO = 450_000
+MEMO = 600_000
 
 
 def word_bpe_path() -> str:
