@@ -7,7 +7,7 @@ table. Two empty strings are equal (1.0).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,6 +104,34 @@ def token_misses(a: str, b: str, least: float = 0.8) -> int:
     return sum(max(indel_ratio(t, u) for u in others) < least for t in a.split())
 
 
+#: Measures by name, for ``measured``.
+KINDS = {"ratio": indel_ratio, "partial": partial_ratio, "tsort": token_sort_ratio, "tset": token_set_ratio, "jw": jaro_winkler, "miss": token_misses}
+
+
+def measured(df: DataFrame, wanted: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """Adds a double for each measure (name: kind, left column, right column), all from one Arrow pass; null where a side is null.
+
+    A batch holds each distinct pair of texts once for a kind, so repeated names cost one look.
+    """
+    sides = sorted({c for _, a, b in wanted.values() for c in (a, b)})
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        memo: dict[str, dict] = {kind: {} for kind, _, _ in wanted.values()}
+        texts = {c: rows[c].tolist() for c in sides}
+        out = {}
+        for name, (kind, a, b) in wanted.items():
+            fn, seen, values = KINDS[kind], memo[kind], []
+            for pair in zip(texts[a], texts[b], strict=True):
+                if pair not in seen:
+                    seen[pair] = None if pair[0] is None or pair[1] is None else float(fn(*pair))
+                values.append(seen[pair])
+            out[name] = pd.Series(values, dtype="float64")
+        return pd.DataFrame(out)
+
+    kind = T.StructType([T.StructField(name, T.DoubleType()) for name in wanted])
+    return df.withColumn("_measures", F.pandas_udf(run, kind)(F.struct(*sides))).select(*[F.col(f"`{c}`") for c in df.columns], "_measures.*")
+
+
 def _pairwise(fn, kind):  # noqa: ANN001, ANN202
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         memo: dict[tuple[str, str], float] = {}

@@ -78,6 +78,38 @@ def value_frequency(entities: DataFrame, others: DataFrame, block: str, value: s
     return others.join(freq, [block, value], "left").withColumn("freq", F.coalesce("freq", F.lit(0)).cast("bigint"))
 
 
+def exact_counts(pairs: DataFrame) -> DataFrame:
+    """Adds rec_n_core_exact, rec_n_skel_exact, s1_n_core_exact: how many candidates of the record (the entity) carry exactly its name."""
+    rec, s1 = Window.partitionBy("rid"), Window.partitionBy("s1")
+    return pairs.withColumns({"rec_n_core_exact": F.sum("core_exact").over(rec), "rec_n_skel_exact": F.sum("skel_exact").over(rec), "s1_n_core_exact": F.sum("core_exact").over(s1)})
+
+
+def name_frequency(entities: DataFrame, others: DataFrame, block: str, columns: dict[str, str]) -> DataFrame:
+    """``others`` with, for each value column, the number of entities of the block that carry its value (0 for none), under the name given."""
+    out = others
+    for value, name in columns.items():
+        freq = entities.groupBy(block, value).agg(F.count(F.lit(1)).cast("double").alias(name))
+        out = out.join(freq, [block, value], "left").na.fill({name: 0.0})
+    return out
+
+
+def view_columns(pairs: DataFrame, nb: DataFrame, views: Sequence[str], k: int) -> DataFrame:
+    """Six columns a view for pairs (rid, s1, {v}_cos): rank (k + 1 where not found), top1, gap1, margin12, vs2.
+
+    nb: neighbours (view, q, s, rank, score). A record's absent neighbours score -1. gap1 is the distance to its best
+    neighbour, margin12 that of its two best, vs2 the lead over the best other entity.
+    """
+    at = lambda v, r: F.max(F.when((F.col("view") == v) & (F.col("rank") == r), F.col("score")))
+    tops = nb.where("rank <= 2").groupBy(F.col("q").alias("rid")).agg(*[at(v, r).alias(f"{v}_top{r}") for v in views for r in (1, 2)])
+    ranks = nb.groupBy(F.col("q").alias("rid"), F.col("s").alias("s1")).agg(*[F.max(F.when(F.col("view") == v, F.col("rank"))).cast("double").alias(f"{v}_rank") for v in views])
+    out = pairs.join(ranks, ["rid", "s1"], "left").join(tops, "rid", "left")
+    out = out.na.fill({f"{v}_rank": float(k + 1) for v in views} | {f"{v}_top{r}": -1.0 for v in views for r in (1, 2)})
+    for v in views:
+        cos, one, two = (F.col(f"{v}_{c}") for c in ("cos", "top1", "top2"))
+        out = out.withColumns({f"{v}_gap1": one - cos, f"{v}_margin12": one - two, f"{v}_vs2": cos - F.when(F.col(f"{v}_rank") == 1, two).otherwise(one)})
+    return out.drop(*[f"{v}_top2" for v in views])
+
+
 def stack_features(pairs: DataFrame, p: str = "p") -> DataFrame:
     """Second-stage columns from first-stage scores over a record's and an entity's candidates."""
     rec, s1 = Window.partitionBy("rid"), Window.partitionBy("s1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +31,7 @@ def _prefix_gain(pairs: DataFrame, q, n_scale: float = 1.0) -> DataFrame:  # noq
 def select_expected_power(pairs: DataFrame, power: float = 1.0, min_p: float = 0.0) -> DataFrame:
     """The first m records of each entity that maximise expected F0.5 of q = p ** power; none where no match is likelier; then q >= min_p."""
     q = F.least(F.greatest(F.pow("p", F.lit(power)), F.lit(1e-6)), F.lit(1 - 1e-6))
-    d = _prefix_gain(pairs, q)
-    whole = Window.partitionBy("s1")
-    d = d.withColumn("_best", F.max(F.round("ef", 12)).over(whole))
-    d = d.withColumn("_m", F.min(F.when(F.round("ef", 12) == F.col("_best"), F.col("m"))).over(whole))
-    return d.where((F.col("m") <= F.col("_m")) & (F.col("_best") > F.col("ef0")) & (F.col("q") >= min_p)).drop("_best", "_m", "ef", "ef0", "m", "q")
+    return _best_prefix(pairs.withColumn("q", q), ["s1"]).where(F.col("q") >= min_p).drop("q")
 
 
 def select_expected_calib(pairs: DataFrame, calib: float = 1.0, floor: float = 0.0) -> DataFrame:
@@ -55,3 +53,33 @@ def apply_rule(pairs: DataFrame, rule: dict) -> DataFrame:
 
 #: The rules that tuning tries.
 RULES = [{"rule": "threshold", "t": t} for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)] + [{"rule": "expected_f", "alpha": a, "min_p": m} for a in (0.7, 1.0, 1.5, 2.0, 3.0) for m in (0.0, 0.2, 0.4)]
+
+
+def chosen_by(assigned: DataFrame, rules: Sequence[dict]) -> DataFrame:
+    """(rule_no, rid, s1) of all pairs that each rule chooses, from one reading of pairs with one entity a record."""
+    cuts = [(i, float(r["t"])) for i, r in enumerate(rules) if r["rule"] == "threshold"]
+    powers = sorted({r["alpha"] for r in rules if r["rule"] != "threshold"})
+    pairs, parts = assigned.select("rid", "s1", "p"), []
+    if cuts:
+        steps = F.array(*[F.struct(F.lit(i).alias("rule_no"), F.lit(t).alias("t")) for i, t in cuts])
+        parts.append(pairs.select("rid", "s1", F.inline(F.filter(steps, lambda c: c["t"] <= F.col("p")))).select("rule_no", "rid", "s1"))
+    if powers:
+        each = pairs.withColumn("power", F.explode(F.array(*[F.lit(float(a)) for a in powers])))
+        q = F.least(F.greatest(F.pow("p", F.col("power")), F.lit(1e-6)), F.lit(1 - 1e-6))
+        kept = _best_prefix(each.withColumn("q", q), ["power", "s1"])
+        floors = F.array(*[F.struct(F.lit(i).alias("rule_no"), F.lit(float(r["alpha"])).alias("power"), F.lit(float(r["min_p"])).alias("min_p")) for i, r in enumerate(rules) if r["rule"] != "threshold"])
+        met = F.filter(floors, lambda c: (c["power"] == F.col("power")) & (c["min_p"] <= F.col("q")))
+        parts.append(kept.select("rid", "s1", F.inline(met)).select("rule_no", "rid", "s1"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _best_prefix(d: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of the prefix (by q, ties by record) with the greatest expected F0.5 within a key, none where no match is likelier."""
+    whole = Window.partitionBy(*key)
+    order = whole.orderBy(F.col("q").desc(), "rid")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({"_m": F.row_number().over(order), "_tp": F.sum("q").over(run), "_all": F.sum("q").over(whole), "_none": F.exp(F.sum(F.log1p(-F.col("q"))).over(whole))})
+    d = d.withColumn("_ef", F.round(1.25 * F.col("_tp") / (F.col("_m") + 0.25 * F.col("_all")), 12))
+    d = d.withColumn("_top", F.max("_ef").over(whole))
+    d = d.withColumn("_last", F.min(F.when(F.col("_ef") == F.col("_top"), F.col("_m"))).over(whole))
+    return d.where((F.col("_m") <= F.col("_last")) & (F.col("_top") > F.col("_none"))).drop("_m", "_tp", "_all", "_none", "_ef", "_top", "_last")

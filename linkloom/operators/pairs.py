@@ -66,38 +66,42 @@ def _c(name: str, side: int) -> Column:
     return F.col(f"{name}_{side}")
 
 
+#: Text columns and measures of line B.
+MEASURES_B = (
+    ("name", "name_n", ("ratio", "tsort", "tset", "partial")), ("core", "core_n", ("ratio", "tsort", "tset", "jw")), ("skel", "skel", ("ratio", "tsort")),
+    ("addr", "addr_n", ("ratio", "tsort", "tset", "partial")), ("corec", "core_c", ("ratio", "tsort", "tset")), ("addrc", "addr_c", ("ratio", "tsort", "tset", "partial")),
+    ("glued", "_glued", ("partial", "ratio")),
+)
+
+
 def features_b(p: DataFrame) -> DataFrame:
     """String, rule and token columns of line B for pairs with name_n, core_n, skel, addr_n, core_c, addr_c, legal, src on both sides."""
-    out: dict[str, Column] = {}
-    for tag, col, kinds in (
-        ("name", "name_n", ("ratio", "tsort", "tset", "partial")), ("core", "core_n", ("ratio", "tsort", "tset", "jw")), ("skel", "skel", ("ratio", "tsort")),
-        ("addr", "addr_n", ("ratio", "tsort", "tset", "partial")), ("corec", "core_c", ("ratio", "tsort", "tset")), ("addrc", "addr_c", ("ratio", "tsort", "tset", "partial")),
-    ):
-        for kind in kinds:
-            fn = {"ratio": S.ratio, "tsort": S.token_sort, "tset": S.token_set, "partial": S.partial, "jw": S.jaro_winkler_sim}[kind]
-            out[f"{tag}_{kind}"] = fn(_c(col, 1), _c(col, 2))
-    out["glued_partial"] = S.partial(glued(_c("core_n", 1)), glued(_c("core_n", 2)))
-    out["glued_ratio"] = S.ratio(glued(_c("core_n", 1)), glued(_c("core_n", 2)))
-    out |= number_features(_c("addr_c", 1), _c("addr_c", 2)) | acronym_features(_c("core_n", 1), _c("core_n", 2)) | legal_features(_c("legal", 1), _c("legal", 2))
+    wanted = {f"{tag}_{kind}": (kind, f"{col}_1", f"{col}_2") for tag, col, kinds in MEASURES_B for kind in kinds}
+    for tag, col in (("tok", "core_n"), ("tokc", "core_c")):
+        wanted |= {f"{tag}_miss_1": ("miss", f"{col}_1", f"{col}_2"), f"{tag}_miss_2": ("miss", f"{col}_2", f"{col}_1")}
+    done = S.measured(p.withColumns({f"_glued_{i}": glued(_c("core_n", i)) for i in (1, 2)}), wanted).drop("_glued_1", "_glued_2")
+    out = number_features(_c("addr_c", 1), _c("addr_c", 2)) | acronym_features(_c("core_n", 1), _c("core_n", 2)) | legal_features(_c("legal", 1), _c("legal", 2))
     for k, col in (("addr_exact", "addr_n"), ("addrc_exact", "addr_c"), ("corec_exact", "core_c"), ("core_exact", "core_n"), ("skel_exact", "skel")):
         out[k] = flag(_c(col, 1) == _c(col, 2))
     out |= {"addr_empty_1": flag(_c("addr_n", 1) == ""), "addr_empty_2": flag(_c("addr_n", 2) == ""), "is_s3": flag(_c("src", 2) == 3)}
     out |= {"name_len_1": F.length(_c("name_n", 1)).cast("double"), "name_len_2": F.length(_c("name_n", 2)).cast("double"), "addr_len_2": F.length(_c("addr_n", 2)).cast("double")}
-    for tag, col in (("tok", "core_n"), ("tokc", "core_c")):
-        for i, j in ((1, 2), (2, 1)):
-            out[f"{tag}_miss_{i}"] = S.misses(_c(col, i), _c(col, j)).cast("double")
-    done = p.withColumns(out)
     n = lambda i: F.size(tokens(_c("core_n", i))).cast("double")
     x, y = F.split(_c("addr_c", 1), " "), F.split(_c("addr_c", 2), " ")
-    return done.withColumns(
-        {
-            "tok_frac_miss_1": F.col("tok_miss_1") / F.greatest(n(1), F.lit(1.0)),
-            "tok_frac_miss_2": F.col("tok_miss_2") / F.greatest(n(2), F.lit(1.0)),
-            "tok_n_1": n(1),
-            "addr_tok_miss_1": F.size(F.array_except(x, y)).cast("double"),
-            "addr_tok_frac_miss_1": F.size(F.array_except(x, y)) / F.greatest(F.size(x), F.lit(1)),
-        }
-    )
+    out |= {
+        "tok_frac_miss_1": F.col("tok_miss_1") / F.greatest(n(1), F.lit(1.0)),
+        "tok_frac_miss_2": F.col("tok_miss_2") / F.greatest(n(2), F.lit(1.0)),
+        "tok_n_1": n(1),
+        "addr_tok_miss_1": F.size(F.array_except(x, y)).cast("double"),
+        "addr_tok_frac_miss_1": F.size(F.array_except(x, y)) / F.greatest(F.size(x), F.lit(1)),
+    }
+    return done.withColumns(out)
+
+
+#: Text columns and measures of line A.
+MEASURES_A = (
+    ("name", "name_core", ("ratio", "partial", "tsort", "tset", "jw")), ("full", "name_clean", ("tset",)), ("gluedn", "_gn", ("ratio",)), ("phon", "name_phon", ("ratio", "tset")),
+    ("gluedp", "_gp", ("ratio",)), ("addr", "addr_clean", ("ratio", "tset", "tsort", "partial")), ("aphon", "addr_phon", ("tset",)),
+)
 
 
 def features_a(p: DataFrame) -> DataFrame:
@@ -114,30 +118,34 @@ def features_a(p: DataFrame) -> DataFrame:
     mi, mx, my = set_counts(_c("addr_nums", 1), _c("addr_nums", 2))
     both_num = (mx > 0) & (my > 0)
     eq_if_both = lambda col: F.when((_c(col, 1) != "") & (_c(col, 2) != ""), (_c(col, 1) == _c(col, 2)).cast("double"))
-    return p.withColumns(
+    wanted = {f"_{tag}_{kind}": (kind, f"{col}_1", f"{col}_2") for tag, col, kinds in MEASURES_A for kind in kinds}
+    wanted |= {"_alt_12": ("tset", "name_core_1", "_alt_2"), "_alt_21": ("tset", "_alt_1", "name_core_2")}
+    helped = p.withColumns({f"_{k}_{i}": c for i in (1, 2) for k, c in (("alt", alt(i)), ("gn", glued(_c("name_core", i))), ("gp", glued(_c("name_phon", i))))})
+    got = lambda name: hundred(F.col(f"_{name}"))
+    out = S.measured(helped, wanted).withColumns(
         {
-            "name_ratio": hundred(S.ratio(n1, n2)),
-            "name_partial": hundred(S.partial(n1, n2)),
-            "name_tsort": hundred(S.token_sort(n1, n2)),
-            "name_tset": hundred(S.token_set(n1, n2)),
-            "name_jw": S.jaro_winkler_sim(n1, n2),
-            "name_full_tset": hundred(S.token_set(_c("name_clean", 1), _c("name_clean", 2))),
-            "name_nospace": hundred(S.ratio(glued(n1), glued(n2))),
-            "name_alt_best": F.when(alias, hundred(F.greatest(S.token_set(n1, alt(2)), S.token_set(alt(1), n2)))),
+            "name_ratio": got("name_ratio"),
+            "name_partial": got("name_partial"),
+            "name_tsort": got("name_tsort"),
+            "name_tset": got("name_tset"),
+            "name_jw": F.col("_name_jw"),
+            "name_full_tset": got("full_tset"),
+            "name_nospace": got("gluedn_ratio"),
+            "name_alt_best": F.when(alias, hundred(F.greatest("_alt_12", "_alt_21"))),
             "name_jacc": jaccard(n1, n2),
             "name_tok_overlap": ni,
             "name_first_eq": ((first(n1) == first(n2)) & (n1 != "")).cast("int"),
             "name_exact": ((n1 == n2) & (n1 != "")).cast("int"),
             "name_len_ratio": F.least(_c("name_len", 1), _c("name_len", 2)) / F.greatest(_c("name_len", 1), _c("name_len", 2), F.lit(1)),
             "legal_jacc": F.when((lx > 0) & (ly > 0), li / (lx + ly - li)),
-            "name_phon_ratio": hundred(S.ratio(_c("name_phon", 1), _c("name_phon", 2))),
-            "name_phon_tset": hundred(S.token_set(_c("name_phon", 1), _c("name_phon", 2))),
-            "name_phon_nospace": hundred(S.ratio(glued(_c("name_phon", 1)), glued(_c("name_phon", 2)))),
-            "addr_ratio": F.when(both_addr, hundred(S.ratio(a1, a2))),
-            "addr_tset": F.when(both_addr, hundred(S.token_set(a1, a2))),
-            "addr_tsort": F.when(both_addr, hundred(S.token_sort(a1, a2))),
-            "addr_partial": F.when(both_addr, hundred(S.partial(a1, a2))),
-            "addr_phon_tset": F.when(both_addr, hundred(S.token_set(_c("addr_phon", 1), _c("addr_phon", 2)))),
+            "name_phon_ratio": got("phon_ratio"),
+            "name_phon_tset": got("phon_tset"),
+            "name_phon_nospace": got("gluedp_ratio"),
+            "addr_ratio": F.when(both_addr, got("addr_ratio")),
+            "addr_tset": F.when(both_addr, got("addr_tset")),
+            "addr_tsort": F.when(both_addr, got("addr_tsort")),
+            "addr_partial": F.when(both_addr, got("addr_partial")),
+            "addr_phon_tset": F.when(both_addr, got("aphon_tset")),
             "addr_jacc": F.when(both_addr, ai / (ax + ay - ai)),
             "addr_tok_overlap": ai,
             "addr_contain": F.when(F.least(ax, ay) > 0, ai / F.least(ax, ay)),
@@ -152,3 +160,4 @@ def features_a(p: DataFrame) -> DataFrame:
             "b_is_s3": F.startswith(_c("entity_id", 2), F.lit("S3-")).cast("int"),
         }
     )
+    return out.drop(*wanted, *[f"_{k}_{i}" for k in ("alt", "gn", "gp") for i in (1, 2)])

@@ -29,6 +29,11 @@ def role(key: Column, train_pct: int = 30, valid_pct: int = 4) -> Column:
     return F.when(at < valid_pct, 2).when(at < 2 * valid_pct, 3).when(at < 2 * valid_pct + train_pct, 1).otherwise(0)
 
 
+def number_of(key: Column) -> Column:
+    """An integer under 2 ** 31 for a key of any type, to feed the mixes here."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 31))
+
+
 def pair_uniform(a: Column, b: Column) -> Column:
     """A number in [0, 1) mixed from two integers, the same on every engine."""
     two32 = F.lit(4294967296)

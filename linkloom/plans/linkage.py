@@ -49,23 +49,38 @@ def retrieval_features(cand: DataFrame, entities: DataFrame, records: DataFrame)
     return out
 
 
-def run_line_a(sources: dict[str, DataFrame], truth: DataFrame, k: int = 15, least: float = 0.003, rounds: int = 20, floor: float = 0.0) -> dict[str, DataFrame]:
-    """Clean, retrieve, prune, score and decide. sources: raw "1", "2", "3"; truth: (s1, rid). All models train on entities of role 1."""
+#: Thresholds that line A tries on its first validation set.
+THRESHOLDS_A = tuple(round(0.3 + 0.02 * i, 2) for i in range(34))
+
+
+def run_line_a(sources: dict[str, DataFrame], truth: DataFrame, k: int = 15, least: float = 0.003, rounds: int = 20, train_pct: int = 50, valid_pct: int = 10, prune_share: float = 1.0) -> dict[str, DataFrame]:
+    """Clean, retrieve, prune, score and decide. sources: raw "1", "2", "3"; truth: (s1, rid).
+
+    Entities have roles: 1 trains the models (the pruner on a share of them), 2 stops the boosting and tunes the threshold,
+    3 is for the report ("report": macro F0.5 of the entities with role 3, "threshold": the chosen one).
+    """
     ents = line_a.clean_frame(sources["1"])
     recs = line_a.clean_frame(sources["2"].unionByName(sources["3"]))
     cand = retrieval_features(candidates_a(ents, recs, k), ents, recs)
     labelled = cand.join(truth.withColumn("label", F.lit(1)), ["rid", "s1"], "left").na.fill(0, ["label"])
-    labelled = labelled.withColumn("role", sample.role(F.col("s1"), 50, 10)).persist()
+    number = sample.number_of(F.col("s1"))
+    labelled = labelled.withColumn("role", sample.role(number, train_pct, valid_pct)).persist()
     cheap = models.feature_columns(labelled)
-    pruner = models.Matcher(cheap, rounds=max(5, rounds // 2), depth=4).fit(labelled.where("role = 1"))
+    for_pruner = (F.col("role") == 1) & (sample.pair_uniform(number, F.lit(7)) < prune_share)
+    pruner = models.Matcher(cheap, rounds=max(5, rounds // 2), depth=4).fit(labelled.where(for_pruner))
     pruned = models.prune(labelled, pruner, least)
-    full = pairs.features_a(_sides(pruned, ents, recs, KEEP_A))
-    full = full.persist()
+    full = pairs.features_a(_sides(pruned, ents, recs, KEEP_A)).persist()
     columns = [c for c in models.feature_columns(full) if not c.endswith(("_1", "_2")) and c not in ("q",)]
-    matcher = models.Matcher(columns, rounds=rounds).fit(full.where("role = 1"))
-    scored = matcher.score(full).select("rid", "s1", "p", "label", "role")
-    matches = decide.select_expected_calib(decide.assign(scored), 1.0, floor).select("s1", "rid")
-    return {"entities": ents, "records": recs, "candidates": cand.select("s1", "rid"), "scored": scored, "matches": matches}
+    matcher = models.Matcher(columns, rounds=rounds).fit(full.where("role IN (1, 2)"), F.col("role") == 2)
+    scored = matcher.score(full).select("rid", "s1", "p", "label", "role").persist()
+    roles = ents.select(F.col("entity_id").alias("s1"), sample.role(sample.number_of(F.col("entity_id")), train_pct, valid_pct).alias("role"))
+    tune, report = (roles.where(F.col("role") == r).select("s1") for r in (2, 3))
+    known = lambda part: truth.join(part, "s1", "left_semi")
+    steps = metrics.sweep(tune, known(tune), scored.where("role = 2"), THRESHOLDS_A)
+    threshold = steps.orderBy(F.col("macro_f05").desc(), "threshold").first().threshold  # one row
+    matches = decide.select_threshold(scored, threshold, one_to_one=True).select("s1", "rid")
+    told = metrics.summary(metrics.per_entity(report, known(report), matches.join(report, "s1", "left_semi")))
+    return {"entities": ents, "records": recs, "candidates": labelled.select("s1", "rid"), "scored": scored, "matches": matches, "report": told.withColumn("threshold", F.lit(threshold))}
 
 
 def run_line_b(sources: dict[str, DataFrame], truth: DataFrame, k: int = 10, rounds: int = 20, folds: int = 3, dims: int = 64) -> dict[str, DataFrame]:
