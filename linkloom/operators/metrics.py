@@ -89,5 +89,5 @@ def tune_rules(entities: DataFrame, truth: DataFrame, scored: DataFrame, rules:
 
 def best_rule(entities: DataFrame, truth: DataFrame, scored: DataFrame, rules: Sequence[dict] = tuple(decide.RULES)) -> tuple[dict, float]:
     """The rule with the greatest macro F0.5, the first of equals, and that score."""
-    top = tune_rules(entities, truth, scored, rules).orderBy(F.col("macro_f05").desc(), "rule_no").first()
+    top = tune_rules(entities, truth, scored, rules).orderBy(F.round("macro_f05", 12).desc(), "rule_no").first()
     return rules[top.rule_no], top.macro_f05

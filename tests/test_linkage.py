@@ -1,6 +1,5 @@
 """End to end on a synthetic world with known truth."""
 
-import os
 import random
 
 import pytest
@@ -29,13 +28,13 @@ def world(spark, n=60):
     return {k: spark.createDataFrame(v, schema) for k, v in raw.items()}, spark.createDataFrame(truth, "s1 string, rid string")
 
 
-SLOW = pytest.mark.skipif("LINKLOOM_SLOW" not in os.environ, reason="minutes long; set LINKLOOM_SLOW to run it")
+GRID = {"k": (3, 5), "margin": (0.2,), "floor": (-1.0,), "cap": (15, 20)}
 
 
-@pytest.mark.parametrize("line", ["a", pytest.param("b", marks=SLOW)])
+@pytest.mark.parametrize("line", ["a", "b"])
 def test_line(spark, line):
     sources, truth = world(spark)
-    result = linkage.run_line_a(sources, truth, k=5, rounds=4) if line == "a" else linkage.run_line_b(sources, truth, k=5, rounds=4, folds=2, dims=32)
+    result = linkage.run_line_a(sources, truth, k=5, rounds=4) if line == "a" else linkage.run_line_b(sources, truth, k=5, rounds=3, folds=2, dims=32, grid=GRID)
     result["scored"] = result["scored"].cache()
     matches = result["matches"].cache()
     assert matches.groupBy("rid").count().where("count > 1").count() == 0
@@ -44,3 +43,11 @@ def test_line(spark, line):
     assert row.n_entities == 60 and row.macro_f05 > 0.6
     lists, _ = linkage.lists(result | {"matches": matches})
     assert lists.count() == 60 and lists.where(F.col("matched_entity_ids").isNull()).count() == 0
+    told = result["report"].first()
+    if line == "a":
+        assert 0.3 <= told.threshold <= 1 and 0 <= told.macro_f05 <= 1 and told.n_entities < 60
+    else:
+        assert told.stacked == (told.second > told.first) and told.trees >= 1
+        assert len(linkage.models.feature_columns(result["features"])) == 118 + 1  # and the split
+        model = linkage.refitted(result, told.trees)
+        assert model.trees() <= told.trees and len(model.importance()) == 118
