@@ -132,14 +132,14 @@ class WordEncoder:
             memo[chunk] = memo[word] + memo[marks]
 
 
-_SHARED: dict[str, WordEncoder] = {}
+_SHARED: dict[tuple[str, int], WordEncoder] = {}
 
 
-def shared_encoder(path: str) -> WordEncoder:
+def shared_encoder(path: str, memo: int = MEMO) -> WordEncoder:
     """One encoder for all tasks that a Python worker runs."""
-    if path not in _SHARED:
-        _SHARED[path] = WordEncoder(path)
-    return _SHARED[path]
+    if (path, memo) not in _SHARED:
+        _SHARED[path, memo] = WordEncoder(path, memo=memo)
+    return _SHARED[path, memo]
 
 
 class _Open:
@@ -355,9 +355,10 @@ def pack_documents(
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
 
 
-def pack_word_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
+def pack_word_bpe(docs: DataFrame, path: str | None = None, memo: int = MEMO) -> DataFrame:
+    """``pack_documents`` with the word tokenizer; ``memo`` (words remembered) trades memory for time and leaves the result alone."""
     path = path or word_bpe_path()
-    return pack_documents(docs, lambda: shared_encoder(path))
+    return pack_documents(docs, lambda: shared_encoder(path, memo))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
