@@ -18,6 +18,9 @@ from linkloom.llm.packing import pack_word_bpe
 from linkloom.llm.passages import cut_passages
 from linkloom.llm.quality import accepted
 
+#: Words that packing remembers here: executors also hold what earlier stages left in their Python workers.
+PACK_MEMO = 450_000
+
 
 def _row(id_col: str, key: Column) -> Column:
     """One text for an id (or none) and a key, so that a join and a window deal rows alike and share a shuffle."""
@@ -58,7 +61,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed documents (see ``packing.pack_documents``)."""
-    return pack_word_bpe(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+    return pack_word_bpe(docs, memo=PACK_MEMO).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
 STAGES = [
