@@ -211,8 +211,13 @@ class PieceCodec:
         if not self.is_byte[ids].any():
             text = "".join([shown[i] for i in ids.tolist()])
         else:
-            parts: list[bytes] = [bytes([self.byte_of[i]]) if i in self.byte_of else shown[i].encode() for i in ids.tolist()]
-            text = b"".join(parts).decode("utf-8", errors="each_byte")
+            runs: list[list[bytes]] = [[]]
+            for i in ids.tolist():
+                if i in self.byte_of or shown[i]:
+                    runs[-1].append(bytes([self.byte_of[i]]) if i in self.byte_of else shown[i].encode())
+                else:  # a control id shows nothing and ends a run of bytes
+                    runs.append([])
+            text = "".join([b"".join(r).decode("utf-8", errors="each_byte") for r in runs])
         first = next((i for i in ids.tolist() if shown[i] or self.is_byte[i]), None)
         return text[1:] if first is not None and not self.is_byte[first] and shown[first][:1] == " " and shown[first] != " ⁇ " else text
 
