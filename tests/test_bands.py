@@ -71,3 +71,8 @@ def test_both_ways_to_measure(spark, parts, most):
 
 def test_alias_best(spark):
     assert joins_by_size(catalogue.QUERIES["alias_best"](spark, "/root/testdata/sf0.001"))
+
+
+def test_token_cover_miss(spark, named):
+    assert joins_by_size(catalogue.QUERIES["token_cover_miss"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "token_cover_miss")
