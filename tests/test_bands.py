@@ -76,3 +76,8 @@ def test_alias_best(spark):
 def test_token_cover_miss(spark, named):
     assert joins_by_size(catalogue.QUERIES["token_cover_miss"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "token_cover_miss")
+
+
+def test_partial_ratio(spark, named):
+    assert joins_by_size(catalogue.QUERIES["partial_ratio"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "partial_ratio")
