@@ -81,3 +81,8 @@ def test_token_cover_miss(spark, named):
 def test_partial_ratio(spark, named):
     assert joins_by_size(catalogue.QUERIES["partial_ratio"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "partial_ratio")
+
+
+def test_exact_flags(spark, named):
+    assert joins_by_size(catalogue.QUERIES["exact_flags"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "exact_flags")
