@@ -86,3 +86,8 @@ def test_partial_ratio(spark, named):
 def test_exact_flags(spark, named):
     assert joins_by_size(catalogue.QUERIES["exact_flags"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "exact_flags")
+
+
+def test_acronym_match(spark, named):
+    assert joins_by_size(catalogue.QUERIES["acronym_match"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "acronym_match")
