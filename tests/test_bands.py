@@ -91,3 +91,8 @@ def test_exact_flags(spark, named):
 def test_acronym_match(spark, named):
     assert joins_by_size(catalogue.QUERIES["acronym_match"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "acronym_match")
+
+
+def test_indel_ratio_pairs(spark, named):
+    assert joins_by_size(catalogue.QUERIES["indel_ratio_pairs"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "indel_ratio_pairs")
