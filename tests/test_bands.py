@@ -96,3 +96,8 @@ def test_acronym_match(spark, named):
 def test_indel_ratio_pairs(spark, named):
     assert joins_by_size(catalogue.QUERIES["indel_ratio_pairs"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "indel_ratio_pairs")
+
+
+def test_legal_overlap(spark, named):
+    assert joins_by_size(catalogue.QUERIES["legal_overlap"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "legal_overlap")
