@@ -101,3 +101,8 @@ def test_indel_ratio_pairs(spark, named):
 def test_legal_overlap(spark, named):
     assert joins_by_size(catalogue.QUERIES["legal_overlap"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "legal_overlap")
+
+
+def test_number_features(spark, named):
+    assert joins_by_size(catalogue.QUERIES["number_features"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "number_features")
