@@ -106,3 +106,8 @@ def test_legal_overlap(spark, named):
 def test_number_features(spark, named):
     assert joins_by_size(catalogue.QUERIES["number_features"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "number_features")
+
+
+def test_similarity_bins_crosstab(spark, named):
+    assert joins_by_size(catalogue.QUERIES["similarity_bins_crosstab"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "similarity_bins_crosstab")
