@@ -111,3 +111,8 @@ def test_number_features(spark, named):
 def test_similarity_bins_crosstab(spark, named):
     assert joins_by_size(catalogue.QUERIES["similarity_bins_crosstab"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "similarity_bins_crosstab")
+
+
+def test_token_set_ratio(spark, named):
+    assert joins_by_size(catalogue.QUERIES["token_set_ratio"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "token_set_ratio")
