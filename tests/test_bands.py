@@ -116,3 +116,8 @@ def test_similarity_bins_crosstab(spark, named):
 def test_token_set_ratio(spark, named):
     assert joins_by_size(catalogue.QUERIES["token_set_ratio"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "token_set_ratio")
+
+
+def test_token_jaccard(spark, named):
+    assert joins_by_size(catalogue.QUERIES["token_jaccard"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "token_jaccard")
