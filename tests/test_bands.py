@@ -121,3 +121,8 @@ def test_token_set_ratio(spark, named):
 def test_token_jaccard(spark, named):
     assert joins_by_size(catalogue.QUERIES["token_jaccard"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "token_jaccard")
+
+
+def test_token_miss(spark, named):
+    assert joins_by_size(catalogue.QUERIES["token_miss"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "token_miss")
