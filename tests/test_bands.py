@@ -126,3 +126,8 @@ def test_token_jaccard(spark, named):
 def test_token_miss(spark, named):
     assert joins_by_size(catalogue.QUERIES["token_miss"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "token_miss")
+
+
+def test_token_sort_ratio(spark, named):
+    assert joins_by_size(catalogue.QUERIES["token_sort_ratio"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, named, "token_sort_ratio")
