@@ -131,3 +131,12 @@ def test_token_miss(spark, named):
 def test_token_sort_ratio(spark, named):
     assert joins_by_size(catalogue.QUERIES["token_sort_ratio"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, named, "token_sort_ratio")
+
+
+@pytest.mark.parametrize("names", ["parts", "named"])
+def test_s1_exact_name_count(spark, request, names):
+    assert " Join " not in catalogue.QUERIES["s1_exact_name_count"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    sf, con = request.getfixturevalue(names)
+    found = catalogue.QUERIES["s1_exact_name_count"](spark, sf).select("q", "n_exact", "n_cand", "n_names").collect()
+    want = con.execute(f"SELECT q, n_exact, n_cand, n_names FROM ({catalogue.ORACLES['s1_exact_name_count']})").fetchall()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
