@@ -140,3 +140,9 @@ def test_s1_exact_name_count(spark, request, names):
     found = catalogue.QUERIES["s1_exact_name_count"](spark, sf).select("q", "n_exact", "n_cand", "n_names").collect()
     want = con.execute(f"SELECT q, n_exact, n_cand, n_names FROM ({catalogue.ORACLES['s1_exact_name_count']})").fetchall()
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("names", ["parts", "named"])
+def test_pair_tfidf_cosine(spark, request, names):
+    assert joins_by_size(catalogue.QUERIES["pair_tfidf_cosine"](spark, "/root/testdata/sf0.001"))
+    equals_sql(spark, request.getfixturevalue(names), "pair_tfidf_cosine")
