@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import bands
+from linkloom.operators import bands, retrieve
 from linkloom.plans import catalogue
 from test_queries import rows
 
@@ -146,3 +146,14 @@ def test_s1_exact_name_count(spark, request, names):
 def test_pair_tfidf_cosine(spark, request, names):
     assert joins_by_size(catalogue.QUERIES["pair_tfidf_cosine"](spark, "/root/testdata/sf0.001"))
     equals_sql(spark, request.getfixturevalue(names), "pair_tfidf_cosine")
+
+
+@pytest.mark.parametrize("names", ["parts", "named"])
+def test_tfidf_two_part_score(spark, request, names, monkeypatch):
+    """Products are summed over distinct texts, not over the parts that repeat them."""
+    sf, con = request.getfixturevalue(names)
+    seen, combine = [], retrieve.combine_parts
+    monkeypatch.setattr(retrieve, "combine_parts", lambda parts: seen.append(combine(parts)) or seen[-1])
+    equals_sql(spark, (sf, con), "tfidf_two_part_score")
+    texts = con.execute("SELECT count(*) FROM (SELECT DISTINCT p_brand, p_name, p_type FROM part)").fetchall()[0][0]
+    assert all(w.select("block", "key").distinct().count() <= texts for w in seen)
