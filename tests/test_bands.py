@@ -1,13 +1,15 @@
 """Pairs of parts against SQL, by both ways to measure them, and how many rows their joins make."""
 
+import math
 import re
+from collections import Counter
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import bands, retrieve
+from linkloom.operators import bands, near_texts, retrieve
 from linkloom.plans import catalogue
 from test_queries import rows
 
@@ -157,3 +159,25 @@ def test_tfidf_two_part_score(spark, request, names, monkeypatch):
     equals_sql(spark, (sf, con), "tfidf_two_part_score")
     texts = con.execute("SELECT count(*) FROM (SELECT DISTINCT p_brand, p_name, p_type FROM part)").fetchall()[0][0]
     assert all(w.select("block", "key").distinct().count() <= texts for w in seen)
+
+
+def test_doc_neardup_topk_keeps_terms_in_place(spark, monkeypatch):
+    """No table has a row for each term of each text, and a block's name may be a word of another block."""
+    monkeypatch.setattr(retrieve, "term_counts", None)
+    texts = [("en", 1, "de en fr x y z"), ("en", 2, "de en fr x y w"), ("de", 3, "en de en de q"), ("de", 4, "en de en de q r"), ("fr", 5, "z"), (None, 6, "z")]
+    frame = spark.createDataFrame(texts, "block string, key long, words string")
+    found = near_texts.near_texts(frame, 3, 0.3).select("block", "q", "s", "score").collect()
+
+    def vector(block, words):
+        mine = lambda t: Counter(t.split() + [f"{a} {b}" for a, b in zip(t.split(), t.split()[1:])])
+        others = [mine(t) for b, _, t in texts if b == block]
+        x = {g: math.log1p(n) * (math.log((1 + len(others)) / (1 + sum(g in o for o in others))) + 1) for g, n in mine(words).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {g: v / norm for g, v in x.items()}
+
+    for block, q, s in (("en", 1, 2), ("de", 3, 4)):
+        a, b = (vector(block, next(t for _, k, t in texts if k == key)) for key in (q, s))
+        want = sum(v * b.get(g, 0) for g, v in a.items())
+        assert sorted((r.q, r.s) for r in found if r.block == block) == [(q, s), (s, q)]
+        assert all(abs(r.score - want) < 1e-9 for r in found if r.block == block)
+    assert {r.block for r in found} == {"en", "de"}
