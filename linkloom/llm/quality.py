@@ -181,9 +181,27 @@ def codes(voted: np.ndarray) -> np.ndarray:
     return (voted.astype(np.int64) * 3 ** np.arange(voted.shape[1])).sum(axis=1)
 
 
+def _fit(weak: dict[int, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scorer's weights as bytes, from all rows (code, x) of the sample; no row where their labels are not of two classes.
+
+    Runs in one task: the sample is bounded, but many times what its weights take, so the driver gets those alone.
+    """
+    label, parts = [], []
+    for batch in batches:
+        label += [weak[c] for c in batch.column(0).to_pylist()]
+        for i in range(0, batch.num_rows, 256):
+            some = batch.column(1).slice(i, 256).to_pylist()
+            parts.append(np.frombuffer(b"".join(some), np.float16).reshape(len(some), -1))
+    y = np.array(label)
+    if len(y) and y.min() < 0.5 < y.max():
+        x = np.concatenate(parts, dtype=np.float64 if len(y) <= 500 else np.float32)
+        parts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([fit_scorer(x, y).tobytes()], pa.binary())], names=["weights"])
+
+
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Judge:
     """Fit labellers on the votes of all documents and the scorer on the ``train_rows`` documents with the smallest hashes of
-    text and id; one scan gives both."""
+    text and id; one scan gives both. The driver holds vote counts and weights, never the sample."""
     cuts = Cuts(docs.sparkSession, "quality")
     n = docs.count()
     # Rows whose hash may be among the smallest: twice the share asked for, so that fewer have a chance of e**-500.
@@ -210,13 +228,13 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id",
     patterns = found[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     good, accuracy = fit_labellers(patterns, np.array([r[1] for r in seen], np.float64))
     weak = dict(zip(found.tolist(), posterior(patterns, good, accuracy).tolist(), strict=True)) if len(found) else {}
-    rows = voted.where("x is not null").orderBy("pick", "code").limit(train_rows).select("code", "x").toArrow()
-    weights = None
-    if rows.num_rows:
-        y = np.array([weak[c] for c in rows.column(0).to_pylist()])
-        if y.min() < 0.5 < y.max():
-            x = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float16).reshape(len(y), -1).astype(np.float64 if len(y) <= 500 else np.float32)
-            weights = fit_scorer(x, y)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _fit(weak, batches)
+
+    sample = voted.where("x is not null").orderBy("pick", "code").limit(train_rows).select("code", "x")
+    fitted = sample.mapInArrow(fit, "weights binary").collect()  # one row at most
+    weights = np.frombuffer(fitted[0][0], np.float64) if fitted else None
     cuts.drop("votes")
     return Judge(weak, good, weights)
 

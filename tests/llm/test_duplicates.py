@@ -147,6 +147,26 @@ def test_quality(spark):
     assert quality.classify(frame(spark, [])).count() == 0
 
 
+def test_quality_sample_stays_off_the_driver(spark):
+    """The scorer is fitted where its sample lies: 400 rows of 8 KB each pass a driver that takes 1 MB of results."""
+    texts = [" ".join(words(60, i)).capitalize() + "." for i in range(320)] + [" ".join(w + "$$$" for w in words(60, i)) for i in range(80)]
+    docs = frame(spark, list(enumerate(texts)))
+    conf = spark.sparkContext._jsc.sc().conf()
+    most = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "1m")
+    try:
+        judge = quality.learn(docs)
+    finally:
+        conf.set("spark.driver.maxResultSize", most)
+    raw = [t.encode() for t in texts]
+    x = np.zeros((len(raw), 2 * quality.BINS + quality.LEVELS), np.float16)
+    for i, t in enumerate(raw):
+        at, weight = quality.features(t)
+        x[i, at] = weight
+    plain = quality.fit_scorer(x.astype(np.float64), judge.labels(quality.votes(raw)))
+    assert np.allclose(judge.weights, plain, atol=1e-6)
+
+
 def test_labellers_learn_their_accuracy():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.7
